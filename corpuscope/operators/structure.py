@@ -37,22 +37,10 @@ def _issue(rows: DataFrame, severity: str, title: str, description: Column, fix:
     )
 
 
-def _with_function_name(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Name of the innermost function around each row; <module> outside of any."""
-    names = nodes.filter(_is("FunctionDef", "AsyncFunctionDef")).select(
-        *FILE, F.col("node_id").alias("fn_id"), F.col("detail")["name"].alias("_fn")
-    )
-    return rows.join(names, [*FILE, "fn_id"], "left").withColumn(
-        "fn_name", F.coalesce("_fn", F.lit("<module>"))
-    ).drop("_fn")
-
-
 def calls_in_loops(nodes: DataFrame) -> DataFrame:
     """Query-like calls and HTTP requests made once per loop iteration."""
     detail = F.col("detail")
-    calls = _with_function_name(nodes, nodes.filter(
-        _is("Call") & (F.col("loop_depth") > 0) & detail["callee"].isin(*QUERY_CALLS, *HTTP_CALLS)
-    ))
+    calls = nodes.filter(_is("Call") & (F.col("loop_depth") > 0))
     quoted = F.concat(F.lit('"'), F.col("fn_name"), F.lit('"'))
     queries = _issue(
         calls.filter(detail["callee"].isin(*QUERY_CALLS)), "MEDIUM", "N+1 Query Pattern",
@@ -73,7 +61,7 @@ def blocking_in_async(nodes: DataFrame) -> DataFrame:
     blocking = F.lit(False)
     for name in BLOCKING_CALLS:
         blocking = blocking | full.contains(name)
-    calls = _with_function_name(nodes, nodes.filter(_is("Call") & F.col("in_async") & blocking))
+    calls = nodes.filter(_is("Call") & F.col("in_async") & blocking)
     return _issue(
         calls, "HIGH", "Blocking I/O in Async Function",
         F.concat(F.lit('Blocking call "'), full, F.lit('" in async "'), F.col("fn_name"),
@@ -84,13 +72,11 @@ def blocking_in_async(nodes: DataFrame) -> DataFrame:
 
 def list_in_aggregate(nodes: DataFrame) -> DataFrame:
     """A list comprehension handed to an aggregation call."""
-    name = F.col("detail")["callee"]
-    calls = nodes.filter(_is("Call") & name.isin(*FOLD_CALLS))
-    comps = nodes.filter(_is("ListComp") & F.col("detail")["arg"].isNotNull()).select(
-        *FILE, F.col("parent_id").alias("node_id")
-    )
+    name, lists = F.col("detail")["callee"], F.col("detail")["list_args"].cast("int")
+    calls = nodes.filter(_is("Call") & name.isin(*FOLD_CALLS) & (lists > 0))
     return _issue(
-        calls.join(comps, [*FILE, "node_id"]), "LOW", "Unnecessary List in Aggregation",
+        calls.withColumn("_each", F.explode(F.sequence(F.lit(1), lists))),
+        "LOW", "Unnecessary List in Aggregation",
         F.concat(name, F.lit("() doesn't need a list comprehension.")),
         F.concat(F.lit("Use generator: "), name, F.lit("(x for x in ...)")),
     )
@@ -174,33 +160,50 @@ def function_lengths(functions: DataFrame) -> DataFrame:
     )
 
 
-def function_complexity(nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """Cyclomatic and cognitive complexity of every function.
+# node type(s) behind each count of function_counts
+COUNTED = {
+    "n_if": ("If",), "n_loop": ("For", "While"), "n_try": ("Try",), "n_call": ("Call",),
+    "n_assign": ("Assign",), "n_return": ("Return",), "n_raise": ("Raise",),
+    "n_global": ("Global",), "n_lambda": ("Lambda",),
+    "n_comp": ("ListComp", "DictComp", "SetComp", "GeneratorExp"), "n_bool": ("BoolOp",),
+}
+
+
+def function_counts(nodes: DataFrame) -> DataFrame:
+    """All per-function counts in one aggregation, combined map-side.
 
-    A branch counts for the innermost function around it. Nested statements
-    cost one more per level; a boolean chain costs its extra values and hides
-    what is below it.
+    A node counts for every function around it; a branch only for the
+    innermost one. Nested statements cost one more per level in the cognitive
+    score; a boolean chain costs its extra values and hides what is below it.
     """
-    own = nodes.filter((F.col("decisions") > 0) & F.col("fn_id").isNotNull()).groupBy(
-        *FILE, "fn_id"
-    ).agg(F.sum("decisions").alias("branches"))
+    wanted = {t for types in COUNTED.values() for t in types} | set(NEST_TYPES)
     scoped = nodes.filter(
-        (_is(*NEST_TYPES) | _is("BoolOp")) & ~F.col("in_boolop")
+        F.col("node_type").isin(*sorted(wanted)) | (F.col("decisions") > 0)
     ).select(
-        *FILE, "node_type", F.col("detail")["values"].cast("int").alias("values"),
-        F.explode("scopes").alias("s"),
+        *FILE, F.col("fn_id").alias("own"), "node_type", "decisions", "in_boolop",
+        F.col("detail")["values"].cast("int").alias("values"),
+        F.explode(F.arrays_zip("scope_ids", "scope_depths")).alias("s"),
     )
-    cost = F.when(F.col("node_type") == "BoolOp", F.col("values") - 1).otherwise(
-        F.col("s.nest_depth") + 1
+    nests, level = _is(*NEST_TYPES), F.col("s.scope_depths") + 1
+    cognitive = F.when(
+        ~F.col("in_boolop"),
+        F.when(nests, level).when(F.col("node_type") == "BoolOp", F.col("values") - 1),
     )
-    cognitive = scoped.groupBy(*FILE, F.col("s.fn_id").alias("fn_id")).agg(
-        F.sum(cost).alias("cognitive")
+    return scoped.groupBy(*FILE, F.col("s.scope_ids").alias("fn_id")).agg(
+        *[F.count_if(_is(*types)).alias(name) for name, types in COUNTED.items()],
+        F.max(F.when(nests, level)).alias("depth"),
+        F.sum(cognitive).alias("cognitive"),
+        F.sum(F.when(F.col("own") == F.col("s.scope_ids"), F.col("decisions"))).alias("branches"),
     )
+
+
+def function_complexity(functions: DataFrame, counts: DataFrame) -> DataFrame:
+    """Cyclomatic and cognitive complexity of every function."""
     keys = [*FILE, "fn_id"]
     cc = F.coalesce("branches", F.lit(0)) + 1
     return (
         functions.select(*keys, "name", "lineno", "loc")
-        .join(own, keys, "left").join(cognitive, keys, "left")
+        .join(counts.select(*keys, "branches", "cognitive"), keys, "left")
         .select(
             *keys, "name", "lineno", "loc", cc.alias("complexity"),
             complexity_rank(cc).alias("rank"), (cc > 10).alias("is_too_complex"),
@@ -224,24 +227,9 @@ FEATURES = [
 ]
 
 
-def function_features(nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """Eighteen numeric features per function, in the order of FEATURES."""
+def function_features(functions: DataFrame, counts: DataFrame) -> DataFrame:
+    """Eighteen numeric features per function, in the order of FEATURES, and its complexity."""
     keys = [*FILE, "fn_id"]
-    # node type(s) -> count column
-    counted = {
-        "n_if": ("If",), "n_loop": ("For", "While"), "n_try": ("Try",), "n_call": ("Call",),
-        "n_assign": ("Assign",), "n_return": ("Return",), "n_raise": ("Raise",),
-        "n_global": ("Global",), "n_lambda": ("Lambda",),
-        "n_comp": ("ListComp", "DictComp", "SetComp", "GeneratorExp"), "n_bool": ("BoolOp",),
-    }
-    wanted = sorted({t for types in counted.values() for t in types} | set(NEST_TYPES))
-    scoped = nodes.filter(F.col("node_type").isin(*wanted)).select(
-        *FILE, "node_type", F.explode("scopes").alias("s")
-    )
-    counts = scoped.groupBy(*FILE, F.col("s.fn_id").alias("fn_id")).agg(
-        *[F.count_if(_is(*types)).alias(name) for name, types in counted.items()],
-        F.max(F.when(_is(*NEST_TYPES), F.col("s.nest_depth") + 1)).alias("depth"),
-    )
     size = F.greatest("loc", F.lit(1)).cast("double")
 
     def number(name: str) -> Column:
@@ -253,7 +241,7 @@ def function_features(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     def flag(c: Column) -> Column:
         return F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    comments = F.regexp_count("source", F.lit(r"#[^\n]*")) / size
+    comments = F.col("comments") / size
     values = [
         F.col("loc") / F.lit(100.0), per_line("n_if"), per_line("n_loop"), per_line("n_try"),
         per_line("n_call"), per_line("n_assign"), number("n_return"), number("n_raise"),
@@ -262,8 +250,14 @@ def function_features(nodes: DataFrame, functions: DataFrame) -> DataFrame:
         flag(F.col("has_param_ann") & F.col("has_return_ann")), comments,
         flag(F.startswith("name", F.lit("_"))),
     ]
-    return functions.join(counts, keys, "left").select(
-        *keys, "name", "lineno", *[v.alias(n) for v, n in zip(values, FEATURES)]
+    # the source text itself stays behind: only its comment count is joined
+    lean = functions.withColumn("comments", F.regexp_count("source", F.lit(r"#[^\n]*"))).select(
+        *keys, "name", "lineno", "loc", "params", "docstring", "has_param_ann", "has_return_ann",
+        "comments",
+    )
+    return lean.join(counts, keys, "left").select(
+        *keys, "name", "lineno", (F.coalesce("branches", F.lit(0)) + 1).alias("complexity"),
+        *[v.alias(n) for v, n in zip(values, FEATURES)],
     )
 
 
@@ -365,7 +359,7 @@ def structure_tokens(nodes: DataFrame) -> DataFrame:
         *FILE, F.col("node_id").alias("fn_id"), "node_id", token.alias("token")
     )
     return (
-        inside.select(*FILE, F.col("s.fn_id").alias("fn_id"), "node_id", "token")
+        inside.select(*FILE, "fn_id", "node_id", "token")
         .unionByName(heads)
         .groupBy(*FILE, "fn_id")
         .agg(F.array_sort(F.collect_list(F.struct("node_id", "token"))).alias("t"))

@@ -216,9 +216,8 @@ def purposes(spark: SparkSession, sf: str) -> DataFrame:
 
 def code_functions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(node rows, function rows) of the generated Python files."""
-    files = b.code_files(spark, sf)
-    nodes = syntax.ast_nodes(files)
-    return nodes, syntax.extract_functions(nodes, files)
+    nodes = syntax.ast_nodes(b.code_files(spark, sf))
+    return nodes, syntax.extract_functions(nodes)
 
 
 _ALL_PARAMS = "[" + ", ".join(f"'{p}'" for p in b.PARAM_NAMES) + "]"

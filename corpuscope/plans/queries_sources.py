@@ -218,7 +218,7 @@ SELECT repo, file_path, name, lineno, loc, is_async, CAST(n_params AS BIGINT) AS
 FROM functions""")
 def functions_of_files(spark: SparkSession, sf: str) -> DataFrame:
     files = b.code_files(spark, sf)
-    fns = syntax.extract_functions(syntax.ast_nodes(files), files)
+    fns = syntax.extract_functions(syntax.ast_nodes(files))
     return fns.select(
         "repo", "file_path", "name", "lineno", "loc", "is_async",
         F.size("params").cast("bigint").alias("n_params"), "has_param_ann", "has_return_ann",

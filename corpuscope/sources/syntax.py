@@ -30,18 +30,10 @@ NODE_SCHEMA = T.StructType(
         T.StructField("parent_id", T.IntegerType()),
         T.StructField("fn_id", T.IntegerType()),
         T.StructField("class_ids", T.ArrayType(T.IntegerType())),
-        # (function, nesting below it) for every function around the node
-        T.StructField(
-            "scopes",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("fn_id", T.IntegerType()),
-                        T.StructField("nest_depth", T.IntegerType()),
-                    ]
-                )
-            ),
-        ),
+        T.StructField("fn_name", T.StringType()),
+        # every function around the node, outermost first, and the nesting inside each
+        T.StructField("scope_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("scope_depths", T.ArrayType(T.IntegerType())),
         T.StructField("node_type", T.StringType()),
         T.StructField("lineno", T.IntegerType()),
         T.StructField("end_lineno", T.IntegerType()),
@@ -52,17 +44,10 @@ NODE_SCHEMA = T.StructType(
         T.StructField("detail", T.MapType(T.StringType(), T.StringType())),
         T.StructField("operators", T.ArrayType(T.StringType())),
         T.StructField("operands", T.ArrayType(T.StringType())),
-        T.StructField(
-            "params",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("name", T.StringType()),
-                        T.StructField("annotated", T.BooleanType()),
-                    ]
-                )
-            ),
-        ),
+        # functions only: parameters, which of them are annotated, source text
+        T.StructField("params", T.ArrayType(T.StringType())),
+        T.StructField("annotated", T.ArrayType(T.BooleanType())),
+        T.StructField("source", T.StringType()),
     ]
 )
 
@@ -119,12 +104,15 @@ def _detail(node: ast.AST) -> dict[str, str]:
         return out
     if isinstance(node, ast.Call):
         func = node.func
+        out = {}
         if isinstance(func, ast.Attribute):
             owner = func.value.id if isinstance(func.value, ast.Name) else ""
-            return {"callee": func.attr, "owner": owner,
-                    "full": f"{owner}.{func.attr}" if owner else func.attr}
-        if isinstance(func, ast.Name):
-            return {"callee": func.id, "owner": "", "full": func.id}
+            out = {"callee": func.attr, "owner": owner,
+                   "full": f"{owner}.{func.attr}" if owner else func.attr}
+        elif isinstance(func, ast.Name):
+            out = {"callee": func.id, "owner": "", "full": func.id}
+        lists = sum(isinstance(a, ast.ListComp) for a in node.args)
+        return {**out, "list_args": str(lists)} if lists else out
     if isinstance(node, ast.Constant):
         return {"const": type(node.value).__name__}
     if isinstance(node, ast.ImportFrom):
@@ -137,46 +125,42 @@ def _detail(node: ast.AST) -> dict[str, str]:
     return {}
 
 
-def _flatten(tree: ast.AST) -> Iterator[tuple]:
+def _flatten(tree: ast.AST, lines: list[str]) -> Iterator[tuple]:
     """Breadth-first node rows, the order in which a tree walk visits them."""
-    # node, parent id, parent is call argument, scopes, class ids, name, loops, async, boolop
-    queue = [(tree, None, False, (), (), "", 0, False, False)]
+    # node, parent, scope ids, scope depths, class ids, function name, loops, async, boolop
+    queue = [(tree, None, (), (), (), None, 0, False, False)]
     at = 0
     while at < len(queue):
-        node, parent, is_arg, scopes, classes, context, loops, in_async, in_bool = queue[at]
+        node, parent, ids, depths, classes, name, loops, in_async, in_bool = queue[at]
         node_id, at = at, at + 1
-        detail = _detail(node)
-        if is_arg:
-            detail["arg"] = "1"
         ops, operands = _terms(node)
-        params = None
-        if isinstance(node, FUNCTIONS):
-            params = [{"name": a.arg, "annotated": a.annotation is not None}
-                      for a in node.args.args]
+        is_function = isinstance(node, FUNCTIONS)
+        params = annotated = source = None
+        if is_function:
+            params = [a.arg for a in node.args.args]
+            annotated = [a.annotation is not None for a in node.args.args]
+            source = "\n".join(lines[node.lineno - 1:node.end_lineno])
         yield (
-            node_id, parent, scopes[-1][0] if scopes else None, list(classes),
-            [{"fn_id": f, "nest_depth": d} for f, d in scopes], type(node).__name__, getattr(node, "lineno", None),
-            getattr(node, "end_lineno", None), loops, in_async, in_bool, _decisions(node),
-            list(detail.items()), ops, [_operand_text(o, context, at * 1000 + i) for i, o in enumerate(operands)],
-            params,
+            node_id, parent, ids[-1] if ids else None, classes, name or "<module>", ids, depths,
+            type(node).__name__, getattr(node, "lineno", None), getattr(node, "end_lineno", None),
+            loops, in_async, in_bool, _decisions(node), list(_detail(node).items()), ops,
+            [_operand_text(o, name or "", at * 1000 + i) for i, o in enumerate(operands)],
+            params, annotated, source,
         )
-        nests = isinstance(node, NEST)
-        outer = scopes
+        outer = (ids, depths)
         decorators = {id(d) for d in getattr(node, "decorator_list", ())}
-        if isinstance(node, FUNCTIONS):
-            scopes, context = (*scopes, (node_id, 0)), node.name
+        if is_function:
+            ids, depths, name = (*ids, node_id), (*depths, 0), node.name
             in_async = in_async or isinstance(node, ast.AsyncFunctionDef)
-        elif nests:
-            scopes = tuple((f, d + 1) for f, d in scopes)
+        elif isinstance(node, NEST):
+            depths = tuple(d + 1 for d in depths)
         if isinstance(node, ast.ClassDef):
             classes = (*classes, node_id)
-        args = {id(a) for a in node.args} if isinstance(node, ast.Call) else ()
-        child_loops = loops + isinstance(node, LOOPS)
-        child_bool = in_bool or isinstance(node, ast.BoolOp)
+        loops += isinstance(node, LOOPS)
+        in_bool = in_bool or isinstance(node, ast.BoolOp)
         for child in ast.iter_child_nodes(node):
-            around = outer if id(child) in decorators else scopes
-            queue.append((child, node_id, id(child) in args, around, classes, context,
-                          child_loops, in_async, child_bool))
+            around = outer if id(child) in decorators else (ids, depths)
+            queue.append((child, node_id, *around, classes, name, loops, in_async, in_bool))
 
 
 BATCH_ROWS = 20_000
@@ -195,7 +179,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for repo, path, content in zip(*(c.to_pylist() for c in batch.columns)):
             try:
-                found = [(repo, path, *row) for row in _flatten(ast.parse(content))]
+                found = [(repo, path, *row)
+                         for row in _flatten(ast.parse(content), content.splitlines())]
             except (SyntaxError, ValueError, RecursionError, MemoryError):
                 continue
             rows.extend(found)
@@ -213,24 +198,17 @@ def ast_nodes(files: DataFrame, min_lines: int = 5) -> DataFrame:
     return python.mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
-def extract_functions(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per function with its signature and source text.
-
-    The source is cut out of the file's own lines, so the join is on the file
-    and functions are the only rows that travel to it.
-    """
-    fns = nodes.filter(F.col("params").isNotNull()).select(
-        "repo", "file_path", F.col("node_id").alias("fn_id"),
-        F.col("detail")["name"].alias("name"), "lineno", "end_lineno",
-        (F.col("end_lineno") - F.col("lineno") + 1).alias("loc"),
+def extract_functions(nodes: DataFrame) -> DataFrame:
+    """One row per function with its signature and source text; a plain filter of node rows."""
+    detail, self_free = F.col("detail"), F.filter("params", lambda p: p != "self")
+    return nodes.filter(F.col("params").isNotNull()).select(
+        "repo", "file_path", F.col("node_id").alias("fn_id"), detail["name"].alias("name"),
+        "lineno", "end_lineno", (F.col("end_lineno") - F.col("lineno") + 1).alias("loc"),
         (F.col("node_type") == "AsyncFunctionDef").alias("is_async"),
-        F.filter("params", lambda p: p["name"] != "self").alias("params"),
+        F.transform(self_free, lambda p: F.struct(p.alias("name"))).alias("params"),
         F.size("params").alias("arg_count"),
-        F.exists("params", lambda p: p["annotated"]).alias("has_param_ann"),
-        F.col("detail")["returns"].isNotNull().alias("has_return_ann"),
-        F.col("detail")["docstring"].alias("docstring"),
-        F.col("detail")["pass_only"].isNotNull().alias("pass_only"),
+        F.array_contains("annotated", True).alias("has_param_ann"),
+        detail["returns"].isNotNull().alias("has_return_ann"),
+        detail["docstring"].alias("docstring"),
+        detail["pass_only"].isNotNull().alias("pass_only"), "source",
     )
-    text = files.select("repo", "file_path", split_lines(F.col("content")).alias("_lines"))
-    source = F.array_join(F.slice("_lines", F.col("lineno"), F.col("loc")), "\n")
-    return fns.join(text, ["repo", "file_path"]).withColumn("source", source).drop("_lines")

@@ -50,8 +50,12 @@ def word_tokens(c: Column, min_len: int = 1) -> Column:
 
 
 def capitalize(c: Column) -> Column:
-    """First letter upper case, the rest lower case."""
-    return F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.lower(F.substr(c, F.lit(2))))
+    """First letter in title case, the rest lower case; one letter may become two."""
+    head = F.upper(F.substr(c, F.lit(1), F.lit(1)))
+    return F.concat(
+        F.substr(head, F.lit(1), F.lit(1)), F.lower(F.substr(head, F.lit(2))),
+        F.lower(F.substr(c, F.lit(2))),
+    )
 
 
 def round_half_up(c: Column, digits: int) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.skew import previous_value
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -175,8 +177,8 @@ CODE_FILES_SQL = (
 # Every function of the generated files with its measures.
 FUNCTIONS_SQL = f"""
 functions AS (
-  SELECT p_brand AS repo, {CODE_PATH} AS file_path, {FN_NAME} AS name, {DEF_LINE} AS lineno,
-         {FN_LOC} AS loc, {IS_ASYNC} AS is_async, {N_PARAMS} AS n_params,
+  SELECT p_brand AS repo, {CODE_PATH} AS file_path, {FN_NAME} AS name,
+         CAST({DEF_LINE} AS INTEGER) AS lineno, {FN_LOC} AS loc, {IS_ASYNC} AS is_async, {N_PARAMS} AS n_params,
          {N_PARAMS} AS arg_count, {PARAM_ANNOTATED} AS has_param_ann,
          {RETURN_ANNOTATED} AS has_return_ann, {HAS_DOC} AS documented, false AS pass_only,
          {FN_CC} AS cc, {FN_COGNITIVE} AS cognitive, {N_IFS} AS n_if, {_int(HAS_LOOP)} AS n_loop,
@@ -189,7 +191,7 @@ functions AS (
          '    def __init__(self, value):' || chr(10) || '        self.value = value'
   FROM part WHERE {HAS_CLASS}
   UNION ALL
-  SELECT repo, file_path, 'noop', first_line + 2 * i, 2, false, 0, 1, false,
+  SELECT repo, file_path, 'noop', CAST(first_line + 2 * i AS INTEGER), 2, false, 0, 1, false,
          false, false, true, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0,
          '    def noop(self):' || chr(10) || '        pass'
   FROM (SELECT p_brand AS repo, {CODE_PATH} AS file_path, {DEF_LINE} + {FN_LOC} + 4 AS first_line,
@@ -371,14 +373,14 @@ changed AS (SELECT repo, file_path FROM diff WHERE status <> 'same')"""
 
 def event_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Steps from one event type to the next different one of the same user."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    steps = table(spark, sf, "events").select(
-        F.expr("'team' || CAST(user_id % 10 AS STRING)").alias("repo"),
-        F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst"),
+    events = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    steps = previous_value(
+        events, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "event_type", "src"
     )
-    return steps.filter("dst IS NOT NULL AND src <> dst").distinct()
+    return steps.filter("src IS NOT NULL AND src <> event_type").select(
+        F.expr("'team' || CAST(user_id % 10 AS STRING)").alias("repo"), "src",
+        F.col("event_type").alias("dst"),
+    ).distinct()
 
 
 EVENT_EDGES_SQL = """
@@ -396,17 +398,21 @@ DOMAIN = (
 
 
 def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer side to supplier side of every high-value order line, per customer segment."""
+    """Customer side to supplier side of order lines traded inside one region."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    items = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
-    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(
+        nations.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("c_region")),
+        "c_nationkey")
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey").join(
+        nations.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("s_region")),
+        "s_nationkey")
     return (
-        items.filter("l_extendedprice > 90000")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter("s_nationkey >= c_nationkey")
+        .filter("s_region = c_region AND s_nationkey > c_nationkey")
         .select(
             F.concat("c_mktsegment", F.lit("-"), F.substr("o_orderpriority", F.lit(1), F.lit(1)))
             .alias("repo"),
@@ -424,7 +430,8 @@ edges AS (
            {DOMAIN.format(c='c_nationkey')} AS src, {DOMAIN.format(c='s_nationkey')} AS dst
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_extendedprice > 90000 AND s_nationkey >= c_nationkey) WHERE src <> dst)"""
+    JOIN nation cn ON cn.n_nationkey = c_nationkey JOIN nation sn ON sn.n_nationkey = s_nationkey
+    WHERE cn.n_regionkey = sn.n_regionkey AND s_nationkey > c_nationkey) WHERE src <> dst)"""
 
 # --- manifests and advisories --------------------------------------------------
 

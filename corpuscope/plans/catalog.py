@@ -1,7 +1,8 @@
 """All named queries. Importing a module registers its queries."""
 
 from corpuscope.plans import (  # noqa: F401
-    queries_sources, queries_scalars, queries_rules,
+    queries_aggregates, queries_graph, queries_joins, queries_models, queries_rules,
+    queries_scalars, queries_sources, queries_streaming,
 )
 from corpuscope.plans.registry import ORACLES, QUERIES
 

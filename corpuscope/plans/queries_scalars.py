@@ -62,7 +62,7 @@ segs AS (SELECT {ident}, unnest(parts) AS seg, unnest(range(len(parts))) AS pos,
 hits AS (SELECT {ident}, label, row_number() OVER (PARTITION BY {ident} ORDER BY pos, seq) AS rn
          FROM segs JOIN keywords ON contains(seg, word)),
 domains AS (
-  SELECT s.*, nullif(coalesce(h.label, upper(substr(head, 1, 1)) || lower(substr(head, 2))), '')
+  SELECT s.*, nullif(coalesce(h.label, replace(upper(substr(head, 1, 1)), 'ẞ', 'Ss') || lower(substr(head, 2))), '')
          AS domain
   FROM (SELECT DISTINCT {ident}, head FROM segs) s
   LEFT JOIN (SELECT * FROM hits WHERE rn = 1) h USING ({ident}))"""

@@ -18,9 +18,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpuscope.functions.text import split_lines
 
-NEST = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler)
-LOOPS = (ast.For, ast.While)
+NEST = frozenset({ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler})
+LOOPS = frozenset({ast.For, ast.While})
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+BRANCHING = frozenset({ast.Try, ast.BoolOp, ast.If, ast.IfExp, ast.Assert, ast.For, ast.While,
+                       ast.AsyncFor, ast.comprehension})
+COMPUTING = frozenset({ast.BinOp, ast.UnaryOp, ast.BoolOp, ast.AugAssign, ast.Compare})
+DETAILED = frozenset({*FUNCTIONS, ast.ClassDef, ast.Call, ast.Constant, ast.ImportFrom,
+                      ast.BoolOp})
+DECORATED = frozenset({*FUNCTIONS, ast.ClassDef})
 
 NODE_SCHEMA = T.StructType(
     [
@@ -133,31 +139,34 @@ def _flatten(tree: ast.AST, lines: list[str]) -> Iterator[tuple]:
     while at < len(queue):
         node, parent, ids, depths, classes, name, loops, in_async, in_bool = queue[at]
         node_id, at = at, at + 1
-        ops, operands = _terms(node)
-        is_function = isinstance(node, FUNCTIONS)
+        kind = type(node)
+        ops, operands = _terms(node) if kind in COMPUTING else ((), ())
         params = annotated = source = None
-        if is_function:
+        if kind in FUNCTIONS:
             params = [a.arg for a in node.args.args]
             annotated = [a.annotation is not None for a in node.args.args]
             source = "\n".join(lines[node.lineno - 1:node.end_lineno])
         yield (
             node_id, parent, ids[-1] if ids else None, classes, name or "<module>", ids, depths,
-            type(node).__name__, getattr(node, "lineno", None), getattr(node, "end_lineno", None),
-            loops, in_async, in_bool, _decisions(node), list(_detail(node).items()), ops,
+            kind.__name__, getattr(node, "lineno", None), getattr(node, "end_lineno", None),
+            loops, in_async, in_bool, _decisions(node) if kind in BRANCHING else 0,
+            list(_detail(node).items()) if kind in DETAILED else (), ops,
             [_operand_text(o, name or "", at * 1000 + i) for i, o in enumerate(operands)],
             params, annotated, source,
         )
+        if not node._fields:
+            continue
         outer = (ids, depths)
-        decorators = {id(d) for d in getattr(node, "decorator_list", ())}
-        if is_function:
+        decorators = {id(d) for d in node.decorator_list} if kind in DECORATED else ()
+        if kind in FUNCTIONS:
             ids, depths, name = (*ids, node_id), (*depths, 0), node.name
-            in_async = in_async or isinstance(node, ast.AsyncFunctionDef)
-        elif isinstance(node, NEST):
+            in_async = in_async or kind is ast.AsyncFunctionDef
+        elif kind in NEST:
             depths = tuple(d + 1 for d in depths)
-        if isinstance(node, ast.ClassDef):
+        if kind is ast.ClassDef:
             classes = (*classes, node_id)
-        loops += isinstance(node, LOOPS)
-        in_bool = in_bool or isinstance(node, ast.BoolOp)
+        loops += kind in LOOPS
+        in_bool = in_bool or kind is ast.BoolOp
         for child in ast.iter_child_nodes(node):
             around = outer if id(child) in decorators else (ids, depths)
             queue.append((child, node_id, *around, classes, name, loops, in_async, in_bool))

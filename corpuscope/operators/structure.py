@@ -354,7 +354,7 @@ def structure_tokens(nodes: DataFrame) -> DataFrame:
     A function's own nodes only; the list is bounded by the size of one file.
     """
     token = type_token(F.col("node_type"), F.col("detail"))
-    inside = nodes.select(*FILE, "node_id", token.alias("token"), F.explode("scopes").alias("s"))
+    inside = nodes.select(*FILE, "node_id", token.alias("token"), F.explode("scope_ids").alias("fn_id"))
     heads = nodes.filter(_is("FunctionDef", "AsyncFunctionDef")).select(
         *FILE, F.col("node_id").alias("fn_id"), "node_id", token.alias("token")
     )

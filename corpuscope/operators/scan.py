@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.scoring import severity_rank
 from corpuscope.functions.text import lstrip, split_lines, strip
 from corpuscope.operators.rule_packs import Rule, SpanRule
+from corpuscope.skew import spread
 
 MIN_LINES = 5
 REDACTED = "[REDACTED]"
@@ -98,7 +99,7 @@ _ARRAY = (
 
 def scan_files(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """Rules over every file of at least five lines."""
-    return scan_lines(explode_lines(files, MIN_LINES), rules)
+    return scan_lines(explode_lines(spread(files, ["file_path"]), MIN_LINES), rules)
 
 
 def scan_spans(lines: DataFrame, rules: Iterable[SpanRule]) -> DataFrame:
@@ -236,7 +237,7 @@ def classify_windows(
     arr = split_lines(F.col("content"))
     every = sorted({w for words, _ in categories.values() for w in words})
     windows = (
-        files.withColumn("_lines", arr)
+        spread(files, ["file_path"]).withColumn("_lines", arr)
         .filter(F.size("_lines") >= MIN_LINES)
         .select(
             "repo", "file_path", "_lines",

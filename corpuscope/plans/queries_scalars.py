@@ -12,6 +12,7 @@ from corpuscope.operators.hints import generate_docstrings, type_hint_gaps
 from corpuscope.operators.scan import redact_snippet
 from corpuscope.plans import bindings as b
 from corpuscope.plans.registry import query
+from corpuscope.session import materialize
 from corpuscope.sources import syntax
 
 
@@ -215,8 +216,8 @@ def purposes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def code_functions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(node rows, function rows) of the generated Python files."""
-    nodes = syntax.ast_nodes(b.code_files(spark, sf))
+    """(node rows, function rows) of the generated Python files, parsed once."""
+    nodes = materialize(syntax.ast_nodes(b.code_files(spark, sf)), "ast-nodes")
     return nodes, syntax.extract_functions(nodes)
 
 

@@ -99,3 +99,17 @@ def top_per_key(
         )
     whole = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Use every core for per-row work on an input with fewer partitions than cores.
+
+    A large input already has more partitions and is returned as it is, so
+    this never shuffles data at scale.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

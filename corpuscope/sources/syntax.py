@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpuscope.functions.text import split_lines
+from corpuscope.skew import spread
 
 NEST = frozenset({ast.If, ast.For, ast.While, ast.With, ast.Try, ast.ExceptHandler})
 LOOPS = frozenset({ast.For, ast.While})
@@ -204,7 +205,7 @@ def ast_nodes(files: DataFrame, min_lines: int = 5) -> DataFrame:
     python = files.filter(
         (F.col("language") == "Python") & (F.size(split_lines(F.col("content"))) >= min_lines)
     ).select("repo", "file_path", "content")
-    return python.mapInArrow(_parse_batches, NODE_SCHEMA)
+    return spread(python, ["repo", "file_path"]).mapInArrow(_parse_batches, NODE_SCHEMA)
 
 
 def extract_functions(nodes: DataFrame) -> DataFrame:

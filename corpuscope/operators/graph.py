@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.paths import DOMAIN_KEYWORDS, domain_of_import, domain_of_path
 from corpuscope.functions.text import round_half_up, word_tokens
-from corpuscope.skew import salted_join
+from corpuscope.skew import salted_join, spread
 
 # Layer number of each domain; unknown domains are at level 2.
 LAYERS = {
@@ -224,6 +224,7 @@ def cohesion(
     rows and no task holds more than two blocks. ``head_chars`` limits the
     text that is looked at; by default it is whole.
     """
+    files = spread(files, ["content"])
     text = F.col("content")
     if head_chars is not None:
         text = F.substr(text, F.lit(1), F.lit(head_chars))

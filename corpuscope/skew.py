@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
-BLOCK_ROWS = 2000
 
 
 def salted_join(
@@ -28,31 +27,6 @@ def salted_join(
     return left.join(right, keys + ["_salt"], how).drop("_salt")
 
 
-def block_pairs(
-    rows: DataFrame,
-    keys: list[str],
-    ident: Column,
-    group_rows: Column,
-    block_rows: int = BLOCK_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """Two sides for an exact self join inside groups of any size.
-
-    A group is cut into blocks of about ``block_rows`` rows. The left side
-    keeps one copy of each row, the right side one copy per block, and both
-    carry the block id of the row they meet in ``_lb``/``_rb``. Every ordered
-    pair of a group meets in exactly one (left block, right block) cell, and
-    no cell holds more than about ``block_rows`` squared pairs.
-    """
-    blocks = F.ceil(group_rows / F.lit(float(block_rows))).cast("int")
-    tagged = rows.withColumn("_k", F.greatest(blocks, F.lit(1))).withColumn(
-        "_own", F.pmod(F.xxhash64(ident), F.col("_k")).cast("int")
-    )
-    cells = F.sequence(F.lit(0), F.col("_k") - 1)
-    left = tagged.withColumn("_rb", F.explode(cells)).withColumnRenamed("_own", "_lb").drop("_k")
-    right = tagged.withColumn("_lb", F.explode(cells)).withColumnRenamed("_own", "_rb").drop("_k")
-    return left, right
-
-
 def previous_value(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str, out: str
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from corpuscope.functions.paths import (
 )
 from corpuscope.functions.scoring import coverage_estimate, risk_level, severity_rank
 from corpuscope.functions.text import round_half_up, split_lines
+from corpuscope.session import materialize
 from corpuscope.skew import salted_join
 
 # Languages that count as source code; import and test patterns.
@@ -95,8 +96,10 @@ def map_tests_by_import(sources: DataFrame, tests: DataFrame, mapped: DataFrame)
 
 
 def map_tests(sources: DataFrame, tests: DataFrame) -> DataFrame:
-    by_name = map_tests_by_name(sources, tests)
-    return by_name.unionByName(map_tests_by_import(sources, tests, by_name))
+    """Both mappings, written once: every coverage measure reads them."""
+    by_name = materialize(map_tests_by_name(sources, tests), "tests-by-name")
+    by_import = materialize(map_tests_by_import(sources, tests, by_name), "tests-by-import")
+    return by_name.unionByName(by_import)
 
 
 def count_tests(tests: DataFrame, pattern: str = TEST_DEFINITION) -> DataFrame:

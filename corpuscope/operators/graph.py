@@ -254,7 +254,8 @@ def cohesion(
 
     def count_cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(
-            {"repo": [key[0]], "module": [key[1]], "n": [_sharing_pairs(pdf, shared_more_than)]}
+            {"repo": pd.Series([key[0]], dtype=object), "module": pd.Series([key[1]], dtype=object),
+             "n": [_sharing_pairs(pdf, shared_more_than)]}
         )
 
     counted = (

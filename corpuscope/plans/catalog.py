@@ -2,7 +2,7 @@
 
 from corpuscope.plans import (  # noqa: F401
     queries_aggregates, queries_graph, queries_joins, queries_models, queries_rules,
-    queries_scalars, queries_sources, queries_streaming,
+    queries_report, queries_scalars, queries_sources, queries_streaming,
 )
 from corpuscope.plans.registry import ORACLES, QUERIES
 

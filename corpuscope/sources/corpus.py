@@ -38,14 +38,14 @@ def read_corpus(
         file_path = F.regexp_replace("rel", "^[^/]+/", "")
     else:
         file_path = F.col("rel")
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     return (
         admit_files(raw.withColumn("rel", tail), "rel", "length")
         .select(
             repo.alias("repo"), F.lit(commit_sha).alias("commit_sha"),
             file_path.alias("file_path"), detect_language(F.col("rel")).alias("language"),
             F.when(F.is_valid_utf8(F.col("content").cast("string")), text)
-            .otherwise(F.decode("content", F.lit("ISO-8859-1"))).alias("content"),
+            .otherwise(F.decode("content", "ISO-8859-1")).alias("content"),
             F.col("length").alias("size_bytes"),
         )
         .withColumn("line_count", F.size(split_lines(F.col("content"))))

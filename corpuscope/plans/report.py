@@ -1,7 +1,8 @@
 """The whole analysis of a multi-repository corpus as one plan.
 
-``analyze`` returns every intermediate table by name, so a caller can write
-any of them; ``report`` folds them into one nested row per repository.
+``analyze`` writes every result table once to the shared folder and returns
+them by name, so no later step repeats a scan or a parse and plans stay small;
+``report`` folds them into one nested row per repository.
 """
 
 from __future__ import annotations
@@ -68,8 +69,9 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
     functions = syntax.extract_functions(nodes)
     counts = materialize(structure.function_counts(nodes), "function-counts")
     features = structure.function_features(functions, counts)
-    complexity = structure.function_complexity(functions, counts)
-    halstead = structure.halstead(structure.code_tokens(nodes), structure.FILE)
+    complexity = materialize(structure.function_complexity(functions, counts), "complexity")
+    halstead = materialize(
+        structure.halstead(structure.code_tokens(nodes), structure.FILE), "halstead-files")
     python = files.filter("language = 'Python'")
     sources, tests = coverage.source_files(files), coverage.test_files(files)
     mapping = coverage.map_tests(sources, tests)
@@ -79,7 +81,7 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
         coverage.file_coverage(sources, mapping, test_counts, fn_counts), "file-coverage")
     edges = materialize(graph.build_module_graph(import_source.extract_imports(files)), "edges")
     modules = graph.file_modules(files)
-    deps = manifests.collect_dependencies(files)
+    deps = materialize(manifests.collect_dependencies(files), "packages")
     heuristic = scan.keyword_density(code.filter("language <> 'Python'"))
     scored = complexity.select(
         "repo", module_of(F.col("file_path")).alias("module"),
@@ -98,7 +100,7 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
         "halstead": structure.halstead_mean(halstead),
         "maintainability": structure.repo_maintainability(
             structure.file_maintainability(python, halstead, complexity), files),
-        "smells": materialize(_smells(code, nodes, functions), "smells"),
+        "smells": _smells(code, nodes, functions),
         "security": scan.dedup_findings(scan.scan_files(files, [*SECURITY, *SECRETS])),
         "scripts": scan.dedup_findings(scan.scan_files(files, JAVASCRIPT), "rule_id"),
         "performance": _performance(files, scan.explode_lines(files, scan.MIN_LINES), nodes),
@@ -120,7 +122,7 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
     }
     if advisories is not None:
         tables["vulnerable"] = dependencies.vulnerable_dependencies(deps, advisories)
-    return tables
+    return {name: materialize(table, name) for name, table in tables.items()}
 
 
 def ranked_insights(t: dict[str, DataFrame]) -> DataFrame:

@@ -12,7 +12,8 @@ from corpuscope.session import get_session  # noqa: E402
 def spark(tmp_path_factory):
     session = get_session(
         "tests", "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
+           "spark.ui.showConsoleProgress": "false",
            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))},
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -9,6 +9,7 @@ from corpuscope.functions.scoring import (
     SMELL_HOURS, SMELL_PENALTY, quality_score, severity_weight, tech_debt_hours,
 )
 from corpuscope.functions.text import round_half_up, split_lines, strip
+from corpuscope.skew import spread
 
 
 def language_breakdown(files: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def duplication_rate(
         F.transform(split_lines(F.col("content")), strip), lambda s: F.length(s) > min_chars
     )
     blocks = (
-        files.select("repo", clean.alias("c"))
+        spread(files, ["file_path"]).select("repo", clean.alias("c"))
         .filter(F.size("c") >= window)
         .select("repo", F.explode(
             F.transform(

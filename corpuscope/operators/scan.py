@@ -33,7 +33,7 @@ def java_pattern(rule: Rule) -> str:
 
 def explode_lines(files: DataFrame, min_lines: int = 0) -> DataFrame:
     """One row per line, numbered from 1; files shorter than ``min_lines`` are left out."""
-    split = files.withColumn("_lines", split_lines(F.col("content")))
+    split = spread(files, ["file_path"]).withColumn("_lines", split_lines(F.col("content")))
     if min_lines:
         split = split.filter(F.size("_lines") >= min_lines)
     return split.select(
@@ -99,7 +99,7 @@ _ARRAY = (
 
 def scan_files(files: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """Rules over every file of at least five lines."""
-    return scan_lines(explode_lines(spread(files, ["file_path"]), MIN_LINES), rules)
+    return scan_lines(explode_lines(files, MIN_LINES), rules)
 
 
 def scan_spans(lines: DataFrame, rules: Iterable[SpanRule]) -> DataFrame:

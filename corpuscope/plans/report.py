@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import scoring
-from corpuscope.functions.paths import module_of, repo_name
+from corpuscope.functions.paths import domain_of_path, module_of, repo_name
 from corpuscope.operators import (
     coverage, dependencies, graph, hints, insights, models, quality, scan, similarity, structure,
 )
@@ -80,7 +80,6 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
     covered = materialize(
         coverage.file_coverage(sources, mapping, test_counts, fn_counts), "file-coverage")
     edges = materialize(graph.build_module_graph(import_source.extract_imports(files)), "edges")
-    modules = graph.file_modules(files)
     deps = materialize(manifests.collect_dependencies(files), "packages")
     heuristic = scan.keyword_density(code.filter("language <> 'Python'"))
     scored = complexity.select(
@@ -107,7 +106,7 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
         "dependencies": deps,
         "architecture": graph.architecture_summary(edges),
         "cohesion": graph.cohesion_scores(graph.cohesion(
-            files.join(modules, ["repo", "file_path"]).select("repo", "module", "content"))),
+            files.select("repo", domain_of_path(F.col("file_path")).alias("module"), "content"))),
         "violations": graph.layer_violations(edges),
         "coverage": covered,
         "coverage_summary": coverage.coverage_summary(covered, mapping, test_counts),

@@ -78,10 +78,11 @@ def top_per_key(
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Use every core for per-row work on an input with fewer partitions than cores.
 
-    A large input already has more partitions and is returned as it is, so
-    this never shuffles data at scale.
+    A large input already has more partitions and is returned as it is, and so
+    is the result of any shuffle, so this never adds a shuffle at scale. Only
+    the plan is looked at; nothing runs.
     """
-    if df.isStreaming:
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

@@ -45,8 +45,11 @@ def normalized_hash(c: Column) -> Column:
 
 
 def word_tokens(c: Column, min_len: int = 1) -> Column:
-    """Unicode words of at least ``min_len`` characters, in text order."""
-    return F.regexp_extract_all(c, F.lit(rf"(?U)\b\w{{{min_len},}}\b"), F.lit(0))
+    """Unicode words of at least ``min_len`` characters, in text order.
+
+    A greedy run of word characters is a whole word, so no boundary test is needed.
+    """
+    return F.regexp_extract_all(c, F.lit(rf"(?U)\w{{{min_len},}}"), F.lit(0))
 
 
 def capitalize(c: Column) -> Column:

@@ -57,9 +57,11 @@ def map_tests_by_name(sources: DataFrame, tests: DataFrame) -> DataFrame:
     inside = src.select("repo", "stem", "file_path", F.explode(substrings(F.col("stem"))).alias("clean"))
     around = clean.select("repo", "clean", F.explode(substrings(F.col("clean"))).alias("stem"))
     hits = (
-        inside.join(clean, ["repo", "clean"]).select("repo", "clean", "stem", "file_path")
+        salted_join(inside, clean, ["repo", "clean"], ["stem"], salts=4)
+        .select("repo", "clean", "stem", "file_path")
         .unionByName(
-            around.join(src, ["repo", "stem"]).select("repo", "clean", "stem", "file_path")
+            salted_join(around, src, ["repo", "stem"], ["clean"], salts=4)
+            .select("repo", "clean", "stem", "file_path")
         )
     )
     best = hits.groupBy("repo", "clean").agg(
@@ -85,9 +87,9 @@ def map_tests_by_import(sources: DataFrame, tests: DataFrame, mapped: DataFrame)
     stems = sources.select("repo", "file_path", file_stem(F.col("file_path")).alias("stem")).filter(
         "stem <> ''"
     )
-    found = (
-        distinct.select("repo", "statement", F.explode(substrings(F.col("statement"))).alias("stem"))
-        .join(stems.select("repo", "stem").distinct(), ["repo", "stem"])
+    found = salted_join(
+        distinct.select("repo", "statement", F.explode(substrings(F.col("statement"))).alias("stem")),
+        stems.select("repo", "stem").distinct(), ["repo", "stem"], ["statement"], salts=4,
     )
     by_stem = salted_join(statements, found, ["repo", "statement"], ["test_path"]).select(
         "repo", "test_path", "stem"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.paths import cache_key
 from corpuscope.functions.text import round_half_up
+from corpuscope.skew import salted_join
 
 KEY = ["repo", "file_path"]
 
@@ -35,7 +36,7 @@ def mark_incremental(files: DataFrame, changed: DataFrame) -> DataFrame:
     repository that has no diff at all."""
     marked = files.join(changed.select(*KEY).distinct().withColumn("_hit", F.lit(True)), KEY, "left")
     with_diff = changed.select("repo").distinct().withColumn("_diff", F.lit(True))
-    return marked.join(with_diff, "repo", "left").withColumn(
+    return salted_join(marked, with_diff, ["repo"], ["file_path"], "left").withColumn(
         "rescan", F.col("_hit").isNotNull() | F.col("_diff").isNull()
     ).drop("_hit", "_diff")
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def get_session(app: str = "corpuscope", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every operator is planned for.
@@ -27,21 +32,59 @@ def get_session(app: str = "corpuscope", master: str | None = None, **conf) -> S
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_library(spark)
+    return spark
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpuscope-code-"), f"{package}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(top, package)):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, top))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temp folder only where none is set."""
+    """The cluster's shared checkpoint folder.
+
+    Where none is set, a session inside one process takes a folder of its own;
+    on a cluster that is an error, since executors would write to their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="corpuscope-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder for one written table or stream."""
-    return f"{scratch_root(spark)}/corpuscope/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder for one written table or stream; it goes when the driver ends."""
+    path = f"{scratch_root(spark)}/corpuscope/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table while the session still lives; afterwards the folder is the cluster's to clear."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -3,7 +3,8 @@
 The items are indexed; every passage of every document (``size`` words, each half overlapping the next) is a query. An
 item's weights are divided by ``share`` of its own score, so one threshold of 1 retrieves all items
 of which a passage holds that share. Most passages fall to a bound: the sum of their terms' greatest weights. The
-others walk the posting lists by block-max WAND. What is retrieved is verified in the document around
+others go on if the greatest weights of some block of items reach the threshold, and then walk the posting lists by
+block-max WAND. What is retrieved is verified in the document around
 the passage: ``contain`` of the item's five-word shingles, and the words of its question and of its answer.
 
 The index is built in blocks of at most ``block_mb`` MB of item text, one pass over the documents each.
@@ -28,7 +29,7 @@ from corpuscope.llm.text import ALPHANUMERIC, LOWER, Words, mix, pieces, utf8, w
 U64 = np.uint64
 K1, B = 1.2, 0.75
 SHINGLE = 5
-BLOCK = 16
+BLOCK = 4
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -93,6 +94,17 @@ class Index:
             for i, w in zip(own_items, own_weights):
                 best[i // BLOCK] = max(w, best.get(i // BLOCK, 0.0))
             self.blocks.append(best)
+        self.block_cuts = np.cumsum([0, *(len(b) for b in self.blocks)])
+        self.block_ids = np.array([i for b in self.blocks for i in b], np.int64)
+        self.block_tops = np.array([w for b in self.blocks for w in b.values()])
+
+    def reach(self, passage: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """Passages (of n, given as pairs with their terms) that may hold an item: some block's greatest weights sum to 1."""
+        first, size = self.block_cuts[terms], self.block_cuts[terms + 1] - self.block_cuts[terms]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+        width = len(self.ids) // BLOCK + 1
+        total = np.bincount(np.repeat(passage, size) * width + self.block_ids[at], self.block_tops[at], n * width)
+        return np.flatnonzero((total.reshape(n, width) >= 1 - 1e-9).any(1))
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items whose weights over the terms sum to 1 at least, by block-max WAND."""
@@ -162,8 +174,16 @@ def leaks_in(index: Index, part: np.ndarray, offsets: np.ndarray, size: int, con
     passage, own = (keys // v).astype(np.int64), (keys % v).astype(np.int64)
     bound = np.bincount(passage, index.top[own], chunks.sum())
     cuts = np.searchsorted(passage, np.arange(len(bound) + 1))
+    left = np.flatnonzero(bound >= 1 - 1e-9)
+    reached = []
+    step = max(1, (1 << 20) // (len(index.ids) // BLOCK + 1))  # passages at once, by memory
+    for x in range(0, len(left), step):
+        some = left[x : x + step]
+        size = cuts[some + 1] - cuts[some]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(cuts[some], size)
+        reached += some[index.reach(np.repeat(np.arange(len(some)), size), own[at], len(some))].tolist()
     found: dict[tuple[int, int], list] = {}
-    for p in np.flatnonzero(bound >= 1 - 1e-9).tolist():
+    for p in reached:
         t = int(np.searchsorted(base, p, "right") - 1)
         for item, score in index.search(own[cuts[p] : cuts[p + 1]].tolist()):
             known = found.get((t, item))
@@ -208,7 +228,7 @@ def indexes(benchmark: DataFrame, item_col: str, text_col: str, share: float, si
 
 def benchmark_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", size: int = 128, share: float = 0.5, contain: float = 0.8, both: float = 0.5,
+    item_text: str = "text", size: int = 128, share: float = 0.6, contain: float = 0.8, both: float = 0.5,
     block_mb: float = 16.0,
 ) -> DataFrame:
     """One row per document and leaked item: id, item, score, contained, question, answer, first_word."""
@@ -238,7 +258,7 @@ def benchmark_leaks(
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = 128, share: float = 0.5,
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = 128, share: float = 0.6,
                   contain: float = 0.8, both: float = 0.5, block_mb: float = 16.0) -> DataFrame:
     """The documents without any leak; columns as given."""
     at = docs.columns.index(text_col)

@@ -9,6 +9,7 @@ from corpuscope.llm.bpe import count_tokens, encode_documents
 from corpuscope.llm.decontamination import benchmark_leaks
 from corpuscope.llm.exact_dedup import exact_groups
 from corpuscope.llm.licenses import license_labels
+from corpuscope.llm.near_dedup import near_groups
 from corpuscope.llm.sharding import shard_rows
 from corpuscope.llm.substring_dedup import substring_dedup
 from corpuscope.llm.tables import read
@@ -49,6 +50,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(read(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read(spark, sf_dir, "documents"), k=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     known = read(spark, sf_dir, "labels").filter(fold(5) != 0)
@@ -67,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_substring_dedup, op3_sharding, op5_bpe, op6_licenses,
-        op8_toxicity, op9_token_counts, op10_decontamination,
+        op7_near_dedup, op8_toxicity, op9_token_counts, op10_decontamination,
     )
 }
 
@@ -90,4 +96,22 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(k, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id)""",
+    "op7_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sh AS MATERIALIZED (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+            FROM d, unnest(range(1, greatest(len(w), 2))) AS t(i) WHERE len(w) > 0),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        link AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+            WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+        low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
+               d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id""",
 }

@@ -9,6 +9,7 @@ from corpuscope.llm.bpe import count_tokens, encode_documents
 from corpuscope.llm.decontamination import benchmark_leaks
 from corpuscope.llm.exact_dedup import exact_groups
 from corpuscope.llm.licenses import license_labels
+from corpuscope.llm.mixing import mixing_scores
 from corpuscope.llm.near_dedup import near_groups
 from corpuscope.llm.sharding import shard_rows
 from corpuscope.llm.substring_dedup import substring_dedup
@@ -42,6 +43,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_scores(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), vocabulary(), outputs=False)
 
@@ -72,7 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_exact_dedup, op2_substring_dedup, op3_sharding, op5_bpe, op6_licenses,
+        op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_lm_scoring, op5_bpe, op6_licenses,
         op7_near_dedup, op8_toxicity, op9_token_counts, op10_decontamination,
     )
 }

@@ -7,9 +7,10 @@ Prefix: by rising frequency of the pairs, two classes with that many agreements
 COORDINATES - MATCHES + 1 rarest, so only those are posted. Skip: the frequent rest is never merged; agreements in it
 are counted on the two signatures. At 0.8, fewer than 12 of 32 coordinates agree with probability 2e-8.
 
-Candidates are confirmed on full sets. A posting list is not turned into all its pairs: first each
-list's smallest class meets the others, then one drawn per list; afterwards only pairs whose classes are still in
-different components are formed, so nothing that could join two components is left out.
+Candidates are confirmed on full sets. A list of up to SMALL classes is taken whole. A longer one is not
+turned into all its pairs: first its smallest class meets the others, then one drawn per list; afterwards only pairs
+whose classes are still in different components are formed, so nothing that could join two components is
+left out.
 Components are found by alternating large-star and small-star steps on written tables.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and are kept; texts of fewer words than a
@@ -34,6 +35,7 @@ U64 = np.uint64
 COORDINATES = 32
 MATCHES = 12
 PREFIX = COORDINATES - MATCHES + 1
+SMALL = 8
 _FACTORS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64))
 MULTIPLY, ADD = _FACTORS[:COORDINATES] | U64(1), _FACTORS[COORDINATES:]
 
@@ -177,33 +179,36 @@ def near_groups(
     classes = materialize(
         rows.filter("key IS NOT NULL").groupBy("key").agg(smallest.alias("first"), F.first("signature").alias("signature"))
         .select(F.col("first.row").alias("class"), F.col("first.id").alias("id"), "key", "signature"), "classes")
-    posted = materialize(postings(classes), "postings")
-    lists = posted.join(posted.groupBy("pair").count().filter("count > 1").select("pair"), "pair", "left_semi")
-    known = classes.select("class", "id", "key").join(lists.select("class").distinct(), "class", "left_semi")
+    posted = postings(classes)
+    lists = materialize(
+        posted.join(posted.groupBy("pair").agg(F.count("*").alias("size")).filter("size > 1"), "pair"), "lists")
+    small = lists.filter(F.col("size") <= SMALL)
+    pairs = small.groupBy("pair").agg(F.array_sort(F.collect_list("class")).alias("c")).select(
+        F.explode(F.flatten(F.transform("c", lambda a: F.transform(
+            F.filter("c", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    pairs = materialize(agreeing(pairs, classes), "pairs")
+    large = lists.filter(F.col("size") > SMALL).select("pair", "class")
+    live = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(large.select("class")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(class_sets(texts, known, k), "class-sets")
-    lists = materialize(lists, "lists")
+    sets = materialize(class_sets(texts, classes.select("class", "id", "key").join(live, "class", "left_semi"), k), "class-sets")
+    links = materialize(confirmed(pairs, sets, percent), "confirmed")
 
     drawn = F.xxhash64("pair", "class")
-    links = None
     for leader in (F.min("class"), F.min_by("class", drawn), None):
-        if links is None:
-            state = lists.withColumn("root", F.col("class"))
+        roots = components(links)
+        state = large.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        several = state.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
+        state = materialize(state.join(several.select("pair"), "pair", "left_semi"), "open-lists")
+        if state.isEmpty():
+            break
+        heads = state.withColumnsRenamed({"class": "a", "root": "root_a"})
+        if leader is None:
+            pairs = heads.join(state, "pair").filter("root_a < root")
         else:
-            roots = components(links)
-            state = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-            open_lists = state.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
-            state = materialize(state.join(open_lists.select("pair"), "pair", "left_semi"), "open-lists")
-        if leader is not None:
-            heads = state.groupBy("pair").agg(leader.alias("a")).join(
-                state.withColumnsRenamed({"class": "a", "root": "root_a"}), ["pair", "a"])
-        else:
-            heads = state.withColumnsRenamed({"class": "a", "root": "root_a"})
-        pairs = heads.join(state, "pair").filter(
-            (F.col("root_a") != F.col("root")) if leader is not None else (F.col("root_a") < F.col("root"))
-        ).select("a", F.col("class").alias("b"))
-        new = materialize(confirmed(agreeing(pairs, classes), sets, percent), "confirmed")
-        links = new if links is None else links.union(new)
+            first = state.groupBy("pair").agg(leader.alias("a"))
+            pairs = heads.join(first, ["pair", "a"], "left_semi").join(state, "pair").filter("root_a <> root")
+        pairs = agreeing(pairs.select("a", F.col("class").alias("b")), classes)
+        links = links.union(materialize(confirmed(pairs, sets, percent), "confirmed"))
     roots = components(links)
     named = roots.join(classes.select("class", "id"), "class").union(
         roots.select("root").distinct().select(F.col("root").alias("class"), "root").join(classes.select("class", "id"), "class"))

@@ -8,7 +8,7 @@ COORDINATES - MATCHES + 1 rarest, so only those are posted. Skip: the frequent r
 are counted on the two signatures. At 0.8, fewer than 12 of 32 coordinates agree with probability 2e-8.
 
 Candidates are confirmed on full sets. A list of up to SMALL classes is taken whole. A longer one is not
-turned into all its pairs: first its smallest class meets the others, then one drawn per list; afterwards only pairs
+turned into all its pairs: first the class that most long lists hold meets the others, then one drawn per list; afterwards only pairs
 whose classes are still in different components are formed, so nothing that could join two components is
 left out.
 Components are found by alternating large-star and small-star steps on written tables.
@@ -193,8 +193,11 @@ def near_groups(
     sets = materialize(class_sets(texts, classes.select("class", "id", "key").join(live, "class", "left_semi"), k), "class-sets")
     links = materialize(confirmed(pairs, sets, percent), "confirmed")
 
-    drawn = F.xxhash64("pair", "class")
-    for leader in (F.min("class"), F.min_by("class", drawn), None):
+    # the centre of a group of copies is posted in more of its lists than the copies are
+    degrees = large.groupBy("class").agg(F.count("*").alias("degree"))
+    large = materialize(large.join(degrees, "class"), "long-lists")
+    central = F.min_by("class", F.struct(-F.col("degree"), "class"))
+    for leader in (central, F.min_by("class", F.xxhash64("pair", "class")), None):
         roots = components(links)
         state = large.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         several = state.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")

@@ -293,7 +293,7 @@ def substring_dedup(
 
     A block is about ``block_mb`` MB of stored input; it is what one task holds.
     """
-    blocks = parts_for(docs, block_mb)
+    blocks = parts_for(docs, text_col, block_mb)
     bounds = sorted({int(x) for x in docs.approxQuantile(id_col, [i / blocks for i in range(1, blocks)], 0.2 / blocks)}) \
         if blocks > 1 else []
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

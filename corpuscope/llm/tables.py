@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuscope.session import materialize, scratch_path  # noqa: F401
 
@@ -11,7 +12,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def parts_for(df: DataFrame, each_mb: float, least: int = 1) -> int:
-    """Number of parts of about ``each_mb`` MB of stored input, by Spark's own size estimate."""
+def parts_for(df: DataFrame, text_col: str, each_mb: float) -> int:
+    """Number of parts of about ``each_mb`` MB of stored input.
+
+    Files tell their size through Spark's statistics. Where those know nothing (rows that no file holds), texts are measured.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(max(least, min(size / (each_mb * 1e6), 1_000_000)) + 0.999)
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return int(max(1, size / (each_mb * 1e6)) + 0.999)

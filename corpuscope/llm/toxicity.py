@@ -10,7 +10,7 @@ rows that the counts have not seen, turns them into a score.
 Models are fitted on at most ``sample`` labelled rows (those with the smallest hash of their id), so the counts are
 bounded by their text; scoring is one pass over all documents without a shuffle.
 
-Defined cases: null counts as empty; texts without words have the score of zero evidence; null labels are not
+Defined cases: null counts as empty; texts without words score 0; null labels are not
 used; of ids labelled several times the largest label counts; without labels of both classes all scores are 0.
 """
 
@@ -54,6 +54,8 @@ class Model:
     contexts: np.ndarray
     context_evidence: np.ndarray
     weights: np.ndarray
+    low: np.ndarray | float = -np.inf  # range of the features at the fit; scores do not reach beyond it
+    high: np.ndarray | float = np.inf
 
     def evidence(self, keys: np.ndarray) -> np.ndarray:
         """log p(byte | toxic) - log p(byte | ordinary): of the sequence if seen, else of its context."""
@@ -87,8 +89,8 @@ class Model:
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        x = np.clip(design(features) @ self.weights, -500, 500)
-        return 1 / (1 + np.exp(-x))
+        x = np.clip(design(np.clip(features, self.low, self.high)) @ self.weights, -500, 500)
+        return np.where(features[:, 3] > 0, 1 / (1 + np.exp(-x)), 0.0)
 
 
 def design(f: np.ndarray) -> np.ndarray:
@@ -124,7 +126,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights by Newton's method."""
     mean, spread = x.mean(0), x.std(0)
     spread[0], mean[0] = 1, 0
-    spread[spread == 0] = 1
+    spread[spread < 1e-6] = 1
     z, w = (x - mean) / spread, np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -190,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     if y.all() or not y.any():  # too few rows to calibrate: any telling word decides
         model.weights = np.array([-4.0, 0, 0, 0, 0, 2.0])
     else:
-        model.weights = logistic(design(x), y.astype(float))
+        model.weights, model.low, model.high = logistic(design(x), y.astype(float)), x.min(0), x.max(0)
     return model
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from corpuscope.llm.tables import materialize
 from corpuscope.llm.text import LOWER, NOT_SPACE, Words, mix, pack, pieces, unpack, utf8, windows
@@ -230,7 +231,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     kept = near_groups(docs, k, percent, id_col, text_col).filter("kept AND key IS NOT NULL").select(
         F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct()
     at = docs.columns.index(text_col)
-    schema = docs.schema.add("_key", "binary")
+    schema = StructType([*docs.schema.fields, StructField("_key", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -214,8 +214,8 @@ def near_groups(
         pairs = agreeing(pairs.select("a", F.col("class").alias("b")), classes)
         links = links.union(materialize(confirmed(pairs, sets, percent), "confirmed"))
     roots = components(links)
-    named = roots.join(classes.select("class", "id"), "class").union(
-        roots.select("root").distinct().select(F.col("root").alias("class"), "root").join(classes.select("class", "id"), "class"))
+    roots = roots.union(roots.select(F.col("root").alias("class"), "root").distinct())  # a root's id need not be the smallest
+    named = roots.join(classes.select("class", "id"), "class")
     smallest_id = named.groupBy("root").agg(F.min("id").alias("component_id"))
     by_key = (
         classes.select("class", "key", "id").join(roots, "class", "left")

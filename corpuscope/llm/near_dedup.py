@@ -8,9 +8,9 @@ COORDINATES - MATCHES + 1 rarest, so only those are posted. Skip: the frequent r
 are counted on the two signatures. At 0.8, fewer than 12 of 32 coordinates agree with probability 2e-8.
 
 Candidates are confirmed on full sets. A list of up to SMALL classes is taken whole. A longer one is not
-turned into all its pairs: first the class that most long lists hold meets the others, then one drawn per list; afterwards only pairs
-whose classes are still in different components are formed, so nothing that could join two components is
-left out.
+turned into all its pairs: first the class that most long lists hold meets the others, then one drawn per list; afterwards the lists that still
+hold several components are compared block by block in numpy, and only links become rows, so nothing that could
+join two components is left out.
 Components are found by alternating large-star and small-star steps on written tables.
 
 Defined cases: null and empty texts have an empty set, are linked with nothing and are kept; texts of fewer words than a
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -37,6 +38,8 @@ COORDINATES = 32
 MATCHES = 12
 PREFIX = COORDINATES - MATCHES + 1
 SMALL = 8
+#: what one task compares: two blocks of at most so many classes, of about so many bytes of sets, by so many shingles at once
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 32 << 20, 2048
 _FACTORS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=U64))
 MULTIPLY, ADD = _FACTORS[:COORDINATES] | U64(1), _FACTORS[COORDINATES:]
 
@@ -151,6 +154,82 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products of narrow 0/1 matrices."""
+    terms = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    places = []
+    for sets in (a, b):
+        flat = np.concatenate(sets)
+        at = np.searchsorted(terms, flat)
+        known = np.flatnonzero(at < len(terms))
+        known = known[terms[at[known]] == flat[known]]
+        known = known[np.argsort(at[known], kind="stable")]
+        places.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known], at[known]))
+    for c in range(0, len(terms), COLUMNS):
+        parts = []
+        for n, (row, column) in zip(out.shape, places):
+            i, j = np.searchsorted(column, (c, c + COLUMNS))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[row[i:j], column[i:j] - c] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def across(state: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between classes of different components that share an open list; state has pair, class, root.
+
+    A list is cut into blocks of bounded rows and bytes. One task compares two blocks, with signatures and sets at
+    hand, and returns links only, so that pairs are never rows. A pair that shares several lists is compared in the
+    one of the lowest coordinate.
+    """
+    bit = F.expr("bit_or(shiftleft(1L, CAST(shiftright(pair, 32) AS INT)))")
+    members = (
+        state.groupBy("class").agg(bit.alias("mask"))
+        .join(classes.select("class", "signature"), "class").join(sets, "class"))
+    blocks = F.greatest(F.count("*") / F.lit(block), F.sum("bytes") / F.lit(BLOCK_BYTES))
+    sizes = (
+        state.join(sets.select("class", F.octet_length("set").alias("bytes")), "class")
+        .groupBy("pair").agg(F.ceil(blocks).cast("int").alias("k")))
+    cells = (
+        state.select("pair", "class", "root").join(sizes, "pair")
+        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        .select("pair", F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"), "own", "class", "root")
+        .join(members, "class"))
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        coordinate, cell_a, cell_b = key[0].as_py() >> 32, key[1].as_py(), key[2].as_py()
+        ids, roots, masks, own = (rows.column(c).to_numpy() for c in ("class", "root", "mask", "own"))
+        signs = pc.list_flatten(rows.column("signature")).to_numpy().reshape(-1, COORDINATES)
+        size = pc.binary_length(rows.column("set")).to_numpy().astype(np.int64) // 8
+        x, y = np.flatnonzero(own == cell_a), np.flatnonzero(own == cell_b)
+        wanted = roots[x][:, None] != roots[y]
+        wanted &= 100 * np.minimum(size[x][:, None], size[y]) >= percent * np.maximum(size[x][:, None], size[y])
+        if cell_a == cell_b:
+            wanted = np.triu(wanted, 1)
+        agree = np.zeros(wanted.shape, np.uint8)
+        for j in range(COORDINATES):
+            same = signs[x, j][:, None] == signs[y, j]
+            agree += same
+            if j < coordinate:
+                posted = (masks >> j) & 1 > 0
+                wanted &= ~(same & posted[x][:, None] & posted[y])
+        wanted &= agree >= MATCHES
+        i, j = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+        x, y, wanted = x[i], y[j], wanted[np.ix_(i, j)]
+        if wanted.size:
+            packed = rows.column("set")
+            both = shared_counts([unpack(packed[int(n)].as_py()) for n in x], [unpack(packed[int(n)].as_py()) for n in y])
+            wanted &= 100 * both >= percent * (size[x][:, None] + size[y] - both)
+        i, j = np.nonzero(wanted)
+        a, b = ids[x[i]], ids[y[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cells.groupBy("pair", "cell_a", "cell_b").applyInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(class, root): the smallest class reachable, for every class of an edge."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
@@ -171,7 +250,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept, key."""
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -205,14 +284,14 @@ def near_groups(
         state = materialize(state.join(several.select("pair"), "pair", "left_semi"), "open-lists")
         if state.isEmpty():
             break
-        heads = state.withColumnsRenamed({"class": "a", "root": "root_a"})
         if leader is None:
-            pairs = heads.join(state, "pair").filter("root_a < root")
+            found = across(state, classes, sets, percent, block)
         else:
+            heads = state.withColumnsRenamed({"class": "a", "root": "root_a"})
             first = state.groupBy("pair").agg(leader.alias("a"))
             pairs = heads.join(first, ["pair", "a"], "left_semi").join(state, "pair").filter("root_a <> root")
-        pairs = agreeing(pairs.select("a", F.col("class").alias("b")), classes)
-        links = links.union(materialize(confirmed(pairs, sets, percent), "confirmed"))
+            found = confirmed(agreeing(pairs.select("a", F.col("class").alias("b")), classes), sets, percent)
+        links = links.union(materialize(found, "confirmed"))
     roots = components(links)
     roots = roots.union(roots.select(F.col("root").alias("class"), "root").distinct())  # a root's id need not be the smallest
     named = roots.join(classes.select("class", "id"), "class")

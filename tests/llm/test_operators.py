@@ -220,8 +220,9 @@ def test_near_dedup(spark, docs, texts, nothing):
             own[rng.randrange(80)] = f"x{rng.randrange(9000)}"
         family.append((i, " ".join(own)))
     frame = spark.createDataFrame(family, "doc_id long, text string")
-    rows = near_dedup.near_groups(frame, k=2).select("doc_id", "n_shingles", "component_id").collect()
-    assert Counter(map(tuple, rows)) == brute_components(family, 2)
+    for block in (7, 1024):
+        rows = near_dedup.near_groups(frame, k=2, block=block).select("doc_id", "n_shingles", "component_id").collect()
+        assert Counter(map(tuple, rows)) == brute_components(family, 2)
     kept = near_dedup.near_dedup(docs)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.filter("doc_id > 4").collect()} >= {5, 6, 7, 8, 13, 14, 15}

@@ -40,28 +40,62 @@ def pick_cve(aliases: Column, advisory_id: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0)), advisory_id)
 
 
-def version_key(version: Column, width: int = 6) -> Column:
-    """Zero-padded number array of a version, ordered like the version."""
-    parts = F.transform(
-        F.regexp_extract_all(version, F.lit(r"\d+"), F.lit(0)),
-        lambda p: F.coalesce(p.try_cast("bigint"), F.lit(9223372036854775807)),
-    )
-    padded = F.concat(parts, F.array_repeat(F.lit(0).cast("bigint"), width))
-    return F.slice(padded, 1, width)
+BIG = 9223372036854775807
+RELEASE = r"\d+(?:\.\d+)*"
+
+
+def version_key(version: Column) -> Column:
+    """Array of (number, word) that is ordered like the versions.
+
+    The release numbers without closing zeros come first, then -2 for a pre-release or -1 for a
+    release or what follows one (post, rev), then the identifiers of the suffix: dev
+    before numbers before words. Build suffixes after ``+`` do not count; a text without digits is version 0.
+    """
+    def part(number: Column, word: Column) -> Column:
+        return F.struct(number.cast("bigint").alias("number"), word.alias("word"))
+
+    none = F.lit("")
+    text = F.lower(F.trim(version))
+    release = F.coalesce(F.nullif(F.regexp_extract(text, RELEASE, 0), none), F.lit("0"))
+    suffix = F.regexp_extract(text, RELEASE + r"([^+]*)", 1)
+    after = suffix.rlike(r"^[-_.]?(post|rev|r\d)")
+    before = ~after & suffix.rlike(r"^(-|[_.]?[a-z])")
+    numbers = F.transform(
+        F.split(F.regexp_replace(release, r"(?:\.0+)+$", ""), r"\."),
+        lambda p: part(F.coalesce(p.try_cast("bigint"), F.lit(BIG)), F.lit("")))
+    marker = F.array(part(F.when(before, F.lit(-2)).otherwise(F.lit(-1)), none))
+    identifiers = F.transform(
+        F.regexp_extract_all(F.when(before | after, suffix).otherwise(none), F.lit(r"\d+|[a-z]+"), F.lit(0)),
+        lambda p: part(
+            F.when(p == "dev", F.lit(-3)).when(p.rlike("^[0-9]"), F.coalesce(p.try_cast("bigint"), F.lit(BIG)))
+            .otherwise(F.lit(BIG)),
+            F.when(p == "dev", F.lit("")).when(p.rlike("^[0-9]"), F.lit("")).otherwise(p)))
+    return F.concat(numbers, marker, identifiers)
 
 
 def in_ranges(version: Column, affected: Column) -> Column:
-    """Does any range hold the version: introduced <= version < fixed."""
+    """Does any range hold the version: introduced and not fixed between then and the version.
+
+    A range may list any number of introduced and fixed events, in any order; without an
+    introduced event it begins with the first version.
+    """
     key = version_key(version)
 
     def covers(rng: Column) -> Column:
-        low = F.get(F.filter(F.transform(rng["events"], lambda e: e["introduced"]),
-                             lambda v: v.isNotNull()), F.lit(0))
-        high = F.get(F.filter(F.transform(rng["events"], lambda e: e["fixed"]),
-                              lambda v: v.isNotNull()), F.lit(0))
-        return (key >= version_key(F.coalesce(low, F.lit("0")))) & (
-            high.isNull() | (key < version_key(high))
-        )
+        def named(event: str) -> Column:
+            return F.filter(F.transform(rng["events"], lambda e: e[event]), lambda v: v.isNotNull())
+
+        starts = F.coalesce(named("introduced"), F.array(F.lit("0")))
+        starts = F.when(F.size(starts) == 0, F.array(F.lit("0"))).otherwise(starts)
+        ends = F.coalesce(named("fixed"), F.array().cast("array<string>"))
+
+        def open_since(start: Column) -> Column:
+            begun = (start == "0") | (version_key(start) <= key)
+            over = F.exists(ends, lambda end: (version_key(end) <= key) & (
+                (start == "0") | (version_key(end) > version_key(start))))
+            return begun & ~over
+
+        return F.exists(starts, open_since)
 
     return F.exists(affected, lambda a: F.exists(a["ranges"], covers))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.paths import DOMAIN_KEYWORDS, domain_of_import, domain_of_path
 from corpuscope.functions.text import round_half_up, word_tokens
+from corpuscope.session import materialize
 from corpuscope.skew import salted_join, spread
 
 # Layer number of each domain; unknown domains are at level 2.
@@ -48,32 +49,32 @@ def module_universe(edges: DataFrame) -> DataFrame:
     return edges.select("repo", ends).distinct()
 
 
-def find_cycles(edges: DataFrame, max_len: int = 6) -> DataFrame:
-    """Simple directed cycles of at most ``max_len`` modules, each once.
+def find_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Simple directed cycles, each once; ``max_len`` restricts them to so many modules.
 
     A cycle is grown from its smallest module, so every other module on the
-    path is larger. Paths that can still close are the only rows kept.
+    path is larger. Distinct edges and the open paths of every length are
+    written once; growth ends when no path is open.
     """
-    e = edges.select("repo", "src", "dst").distinct()
+    e = materialize(edges.select("repo", "src", "dst").distinct(), "cycle-edges")
     closing = e.select("repo", F.col("src").alias("last"), F.col("dst").alias("start"))
-    loops = e.filter("src = dst").select("repo", F.array("src").alias("path"))
+    found = e.filter("src = dst").select("repo", F.array("src").alias("path"))
+    step = e.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
     paths = e.filter("src < dst").select(
         "repo", F.col("src").alias("start"), F.col("dst").alias("last"),
         F.array("src", "dst").alias("path"),
     )
-    found = loops
-    step = e.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
-    for length in range(2, max_len + 1):
+    length = 2
+    while (max_len is None or length <= max_len) and not paths.isEmpty():
         found = found.unionByName(
             paths.join(closing, ["repo", "last", "start"], "left_semi").select("repo", "path")
         )
-        if length < max_len:
-            paths = (
-                paths.join(step, ["repo", "last"])
-                .filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
-                .select("repo", "start", F.col("next").alias("last"),
-                        F.concat("path", F.array("next")).alias("path"))
-            )
+        paths = materialize(
+            paths.join(step, ["repo", "last"])
+            .filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
+            .select("repo", "start", F.col("next").alias("last"),
+                    F.concat("path", F.array("next")).alias("path")), "open-paths")
+        length += 1
     return found.select(
         "repo", F.size("path").alias("length"),
         F.array_join(F.concat("path", F.array(F.element_at("path", 1))), ARROW).alias("cycle"),
@@ -157,8 +158,13 @@ def domain_score(cycles: Column, violations: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(100.0) - cycles * F.lit(6.0) - violations * F.lit(4.0))
 
 
-def architecture_summary(edges: DataFrame, max_len: int = 6) -> DataFrame:
-    """Scores, counts and the summary sentence of every repository."""
+def architecture_summary(edges: DataFrame, max_len: int | None = None) -> DataFrame:
+    """Scores, counts and the summary sentence of every repository.
+
+    The edges are written once for all measures. With ``max_len`` longer cycles are not
+    counted, and the sentence says so.
+    """
+    edges = materialize(edges.select("repo", "src", "dst").distinct(), "summary-edges")
     degrees = module_degrees(edges)
     cycles = find_cycles(edges, max_len).groupBy("repo").agg(F.count("*").alias("cycles"))
     broken = layer_violations(edges).groupBy("repo").agg(F.count("*").alias("violations"))
@@ -178,6 +184,7 @@ def architecture_summary(edges: DataFrame, max_len: int = 6) -> DataFrame:
             F.col("cycles") > 0,
             F.concat(F.col("cycles").cast("string"), F.lit(" circular "), noun, F.lit(" found.")),
         ),
+        F.lit(None if max_len is None else f"Cycles of up to {max_len} modules counted."),
         F.when(
             F.col("violations") > 0,
             F.concat(F.col("violations").cast("string"), F.lit(" layer violations detected.")),

@@ -9,20 +9,25 @@ from corpuscope.functions.scoring import quality_trend
 from corpuscope.skew import previous_value, top_per_key
 
 
-def history(runs: DataFrame, limit: int = 30, repo: str | None = None) -> DataFrame:
-    """Newest runs of each repository, or of one."""
+def history(runs: DataFrame, limit: int | None = None, repo: str | None = None) -> DataFrame:
+    """Runs of each repository, or of one; with ``limit`` the newest ones and, for all repositories, their rank."""
     if repo is not None:
-        return runs.filter(F.col("repo") == repo).orderBy(
-            F.desc("analyzed_at"), F.desc("run_id")
-        ).limit(limit)
+        runs = runs.filter(F.col("repo") == repo)
+        if limit is None:
+            return runs
+        return runs.orderBy(F.desc("analyzed_at"), F.desc("run_id")).limit(limit)
+    if limit is None:
+        return runs
     return top_per_key(runs, ["repo"], [F.desc("analyzed_at"), F.desc("run_id")], limit)
 
 
-def trend(runs: DataFrame, limit: int = 20, latest: bool = False) -> DataFrame:
-    """Score series of each repository, oldest first.
+def trend(runs: DataFrame, limit: int | None = None, latest: bool = False) -> DataFrame:
+    """Score series of each repository.
 
-    The oldest ``limit`` runs by default; ``latest`` takes the newest ones.
+    With ``limit`` the oldest so many runs and their rank; ``latest`` takes the newest ones.
     """
+    if limit is None:
+        return runs
     if latest:
         newest = top_per_key(runs, ["repo"], [F.desc("analyzed_at"), F.desc("run_id")], limit)
         runs = newest.drop("rank")
@@ -51,7 +56,7 @@ def repo_rollup(runs: DataFrame, by: tuple[str, ...] = ("user_id", "repo")) -> D
     )
 
 
-def leaderboard(runs: DataFrame, limit: int | None = 10) -> DataFrame:
+def leaderboard(runs: DataFrame, limit: int | None = None) -> DataFrame:
     """Repositories by best score."""
     best = runs.groupBy("repo").agg(
         F.max_by("repo_name", F.struct("analyzed_at", "run_id")).alias("repo_name"),

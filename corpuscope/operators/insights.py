@@ -190,7 +190,10 @@ def vulnerability_insights(windows: DataFrame) -> DataFrame:
     )
 
 
-INSIGHT_ORDER = ["severity_rank", "score desc", "file_path", "line_no", "title", "description"]
+def leading() -> list[Column]:
+    """Order in which insights of a detector are shown."""
+    return [F.asc("severity_rank"), F.desc("score"), F.asc("file_path"), F.asc("line_no"),
+            F.asc("title"), F.asc("description")]
 
 
 def cap_per_group(
@@ -219,7 +222,7 @@ def cap_per_group(
     return kept.unionByName(other)
 
 
-def compile_insights(parts: list[DataFrame], caps: dict[str, int] | None = DETECTOR_CAPS) -> DataFrame:
+def compile_insights(parts: list[DataFrame], caps: dict[str, int] | None = None) -> DataFrame:
     """One table of all insights; with caps, the leading ones of each detector and repository."""
     rows = None
     for part in parts:
@@ -227,11 +230,7 @@ def compile_insights(parts: list[DataFrame], caps: dict[str, int] | None = DETEC
         rows = part if rows is None else rows.unionByName(part)
     ranked = rows.withColumn("severity_rank", severity_rank(F.col("severity")))
     if caps is not None:
-        ranked = cap_per_group(
-            ranked, ["repo"], "detector", caps,
-            [F.asc("severity_rank"), F.desc("score"), F.asc("file_path"), F.asc("line_no"),
-             F.asc("title"), F.asc("description")],
-        )
+        ranked = cap_per_group(ranked, ["repo"], "detector", caps, leading())
     return ranked
 
 

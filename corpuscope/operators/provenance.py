@@ -52,16 +52,19 @@ def latest_commits(commits: DataFrame, limit: int) -> DataFrame:
 
 
 def churn_hotspots(
-    commits: DataFrame, commit_files: DataFrame, last: int | None = 100, limit: int | None = 10
+    commits: DataFrame, commit_files: DataFrame, last: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Commits and authors per modified file over the last commits of a repository."""
+    """Commits and authors per modified file, over all or the ``last`` commits of a repository.
+
+    Files of other commits leave before repeated ones are removed.
+    """
     recent = latest_commits(commits, last) if last is not None else commits
     touched = commit_files.filter(
         (F.col("change") == "M") & F.col("file_path").contains(".")
         & F.col("file_path").contains("/")
-    ).select("repo", "sha", "file_path").distinct()
+    ).select("repo", "sha", "file_path")
     hot = (
-        touched.join(recent.select("repo", "sha", "author_email"), ["repo", "sha"])
+        touched.join(recent.select("repo", "sha", "author_email"), ["repo", "sha"]).distinct()
         .groupBy("repo", "file_path")
         .agg(F.count("*").alias("commit_count"),
              F.countDistinct("author_email").alias("unique_authors"))
@@ -71,18 +74,18 @@ def churn_hotspots(
     return top_per_key(hot, ["repo"], [F.desc("commit_count"), F.asc("file_path")], limit)
 
 
-def recent_commits(commits: DataFrame, commit_files: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest commits of each repository with the number of files they changed."""
-    newest = latest_commits(commits, limit)
+def recent_commits(commits: DataFrame, commit_files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Commits of each repository with the number of files they changed; with ``limit`` the newest and their rank."""
+    newest = commits if limit is None else latest_commits(commits, limit)
     sizes = (
         salted_join(
-            commit_files.select("repo", "sha", "file_path").distinct(),
+            commit_files.select("repo", "sha", "file_path"),
             newest.select("repo", "sha"), ["repo", "sha"], ["file_path"], "left_semi",
         )
-        .groupBy("repo", "sha").agg(F.count("*").alias("files_changed"))
+        .distinct().groupBy("repo", "sha").agg(F.count("*").alias("files_changed"))
     )
     return newest.join(sizes, ["repo", "sha"], "left").select(
         "repo", F.substr("sha", F.lit(1), F.lit(8)).alias("sha"),
         F.substr(F.trim("message"), F.lit(1), F.lit(80)).alias("message"), "author_email", "ts",
-        F.coalesce("files_changed", F.lit(0)).alias("files_changed"), "rank",
+        F.coalesce("files_changed", F.lit(0)).alias("files_changed"), *([] if limit is None else ["rank"]),
     )

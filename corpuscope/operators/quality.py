@@ -103,10 +103,11 @@ def module_scores(scored: DataFrame, too_complex: float = 10.0) -> DataFrame:
     )
 
 
-def heat_map(modules: DataFrame, limit: int = 10) -> DataFrame:
-    """Highest-scoring modules of each repository."""
+def heat_map(modules: DataFrame, limit: int | None = None) -> DataFrame:
+    """Modules of each repository, ranked by score; with ``limit`` the highest ones."""
     order = Window.partitionBy("repo").orderBy(F.desc("score"), "module")
-    return modules.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = modules.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def smell_totals(smells: DataFrame) -> DataFrame:

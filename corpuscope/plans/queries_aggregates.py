@@ -232,7 +232,7 @@ cxs AS (SELECT repo, sum(greatest(complexity - 10, 0)) AS excess,
                count(*) FILTER (complexity > 10) AS complex_functions FROM cx GROUP BY repo),
 smells AS (SELECT repo, sum(CASE severity WHEN 'HIGH' THEN 3.0 WHEN 'MEDIUM' THEN 1.5 ELSE 0.5 END) AS penalty,
                   sum(CASE severity WHEN 'HIGH' THEN 2.0 WHEN 'MEDIUM' THEN 0.75 ELSE 0.25 END) AS hours,
-                  count(*) AS smells FROM findings WHERE seq < 40 OR severity = 'HIGH' GROUP BY repo)"""
+                  count(*) AS smells FROM findings GROUP BY repo)"""
 
 
 def _quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,11 +241,10 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     )
     cx = events.filter("title = 'purchase'").select(
         "repo", F.floor(F.col("value") / 4).cast("int").alias("complexity"))
-    smells = events.filter("seq < 40 OR severity = 'HIGH'")
     repos = events.select("repo").distinct()
     index = repos.withColumn("maintainability_index", F.lit(95.0))
     lines = events.groupBy("repo").agg(F.count("*").alias("total_lines"))
-    return quality.quality_scores(repos, index, cx, smells, lines)
+    return quality.quality_scores(repos, index, cx, events, lines)
 
 
 @query("g12_quality_score", f"""
@@ -295,7 +294,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY commit_c
            AS INT) AS rank FROM hot)
 SELECT * FROM ranked WHERE rank <= 10""")
 def churn(spark: SparkSession, sf: str) -> DataFrame:
-    return provenance.churn_hotspots(b.order_commits(spark, sf), b.changed_files(spark, sf))
+    return provenance.churn_hotspots(b.order_commits(spark, sf), b.changed_files(spark, sf), last=100, limit=10)
 
 
 DEGREES_SQL = """
@@ -363,21 +362,20 @@ violations AS (SELECT repo, src, dst, src || ' → ' || dst || ' (layer violatio
   FROM edges WHERE {_LEVEL.format(c='dst')} > {_LEVEL.format(c='src')} AND {_LEVEL.format(c='src')} >= 0)"""
 
 
-def cycles_sql(max_len: int) -> str:
-    return f"""
+CYCLES_SQL = """
 walk(repo, start, last, path) AS (
   SELECT repo, src, dst, [src, dst] FROM edges WHERE src < dst
   UNION ALL
   SELECT w.repo, start, e.dst, list_append(path, e.dst) FROM walk w
   JOIN edges e ON e.repo = w.repo AND e.src = w.last
-  WHERE e.dst > start AND NOT list_contains(path, e.dst) AND len(path) < {max_len}),
+  WHERE e.dst > start AND NOT list_contains(path, e.dst)),
 cycles AS (SELECT w.repo, CAST(len(path) AS INT) AS length,
                   array_to_string(list_append(path, start), ' → ') AS cycle
            FROM walk w JOIN edges e ON e.repo = w.repo AND e.src = w.last AND e.dst = w.start)"""
 
 
 @query("g19_domain_score", f"""
-WITH RECURSIVE {b.TRADE_EDGES_SQL}, {VIOLATIONS_SQL}, {cycles_sql(6)},
+WITH RECURSIVE {b.TRADE_EDGES_SQL}, {VIOLATIONS_SQL}, {CYCLES_SQL},
 c AS (SELECT repo, count(*) AS n FROM cycles GROUP BY repo),
 v AS (SELECT repo, count(*) AS n FROM violations GROUP BY repo)
 SELECT r.repo, CAST(greatest(0.0, 100.0 - coalesce(c.n, 0) * 6.0 - coalesce(v.n, 0) * 4.0) AS DOUBLE) AS domain_score

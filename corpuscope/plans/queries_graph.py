@@ -9,7 +9,7 @@ from corpuscope.operators import graph, history, incremental, insights, provenan
 from corpuscope.operators.rule_packs import PROSE
 from corpuscope.plans import bindings as b
 from corpuscope.plans.queries_aggregates import (
-    DEGREES_SQL, VIOLATIONS_SQL, _half_up, cycles_sql,
+    CYCLES_SQL, DEGREES_SQL, VIOLATIONS_SQL, _half_up,
 )
 from corpuscope.plans.queries_rules import PROSE_CATEGORIES, _category_sql, rule_hits_sql, words_sql
 from corpuscope.plans.queries_scalars import domain_sql
@@ -122,12 +122,9 @@ parts AS (
          || ' Pattern (confidence ' || CAST(CAST(floor(confidence * 100.0 + 0.5) AS BIGINT) AS VARCHAR) || '%)',
          'Vulnerability classifier detects ' || category || ' code pattern.', file_path, line_no,
          'Review this section for the indicated vulnerability category.', confidence FROM classified),
-ranked AS (SELECT *, {_RANK} AS severity_rank FROM parts),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY repo, detector ORDER BY severity_rank, score DESC,
-             file_path, line_no, title, description) AS rn FROM ranked)
+ranked AS (SELECT *, {_RANK} AS severity_rank FROM parts)
 SELECT repo, detector, severity, category, title, description, file_path, line_no, suggested_fix,
-       CAST(score AS DOUBLE) AS score, severity_rank
-FROM numbered WHERE rn <= CASE detector WHEN 'security' THEN 20 WHEN 'layer' THEN 3 ELSE 5 END""")
+       CAST(score AS DOUBLE) AS score, severity_rank FROM ranked""")
 def all_insights(spark: SparkSession, sf: str) -> DataFrame:
     files = b.doc_files(spark, sf)
     edges = b.table(spark, sf, "documents").select(
@@ -199,15 +196,15 @@ def code_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("n2_find_cycles", f"""
-WITH RECURSIVE {b.EVENT_EDGES_SQL}, {cycles_sql(5)} SELECT repo, length, cycle FROM cycles""")
+WITH RECURSIVE {b.EVENT_EDGES_SQL}, {CYCLES_SQL} SELECT repo, length, cycle FROM cycles""")
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.find_cycles(b.event_edges(spark, sf), 5)
+    return graph.find_cycles(b.event_edges(spark, sf))
 
 
 @query("n2_find_trade_cycles", f"""
-WITH RECURSIVE {b.TRADE_EDGES_SQL}, {cycles_sql(6)} SELECT repo, length, cycle FROM cycles""")
+WITH RECURSIVE {b.TRADE_EDGES_SQL}, {CYCLES_SQL} SELECT repo, length, cycle FROM cycles""")
 def trade_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.find_cycles(b.trade_edges(spark, sf), 6)
+    return graph.find_cycles(b.trade_edges(spark, sf))
 
 
 @query("n3_layer_violations", f"""
@@ -230,7 +227,7 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("n5_architecture_summary", f"""
-WITH RECURSIVE {b.TRADE_EDGES_SQL}, {VIOLATIONS_SQL}, {cycles_sql(6)}, {DEGREES_SQL},
+WITH RECURSIVE {b.TRADE_EDGES_SQL}, {VIOLATIONS_SQL}, {CYCLES_SQL}, {DEGREES_SQL},
 c AS (SELECT repo, count(*) AS cycles FROM cycles GROUP BY repo),
 v AS (SELECT repo, count(*) AS violations FROM violations GROUP BY repo),
 m AS (SELECT repo, count(*) AS modules,

@@ -197,12 +197,17 @@ near AS (SELECT a.repo, a.hash, count(*) AS near FROM hashed a JOIN hashed z
            ON a.repo = z.repo AND a.hash = z.hash AND a.file_path = z.file_path
           AND a.lineno < z.lineno AND z.lineno - a.lineno <= 5 GROUP BY ALL),
 kept AS (SELECT g.*, n * (n - 1) // 2 - coalesce(near, 0) AS pairs FROM groups g
-         LEFT JOIN near USING (repo, hash))
-SELECT h.repo, h.file_path AS file_b, h.name AS func_b, h.lineno AS line_b, CAST(pairs AS BIGINT) AS pairs
-FROM hashed h JOIN kept k ON h.repo = k.repo AND h.hash = k.hash
+         LEFT JOIN near USING (repo, hash)),
+partners AS (SELECT h.repo, h.hash, h.file_path, h.lineno, h.name,
+                    min(struct_pack(f := z.file_path, l := z.lineno, n := z.name)) AS p
+             FROM hashed h JOIN hashed z ON h.repo = z.repo AND h.hash = z.hash
+              AND (h.file_path <> z.file_path OR abs(h.lineno - z.lineno) > 5) GROUP BY ALL)
+SELECT h.repo, p.f AS file_a, p.l AS line_a, h.file_path AS file_b, h.name AS func_b, h.lineno AS line_b,
+       CAST(pairs AS BIGINT) AS pairs
+FROM partners h JOIN kept k ON h.repo = k.repo AND h.hash = k.hash
 WHERE pairs > 0 AND (h.file_path, h.lineno, h.name) <> k.head""")
 def function_clones(spark: SparkSession, sf: str) -> DataFrame:
     _, functions = code_functions(spark, sf)
     return similarity.exact_clones(functions).select(
-        "repo", "file_b", "func_b", "line_b", "pairs"
+        "repo", "file_a", "line_a", "file_b", "func_b", "line_b", "pairs"
     )

@@ -125,7 +125,7 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
 
 
 def ranked_insights(t: dict[str, DataFrame]) -> DataFrame:
-    """Capped insights of all detectors."""
+    """All insights of all detectors."""
     parts = [
         insights.security_insights(t["security"]), insights.script_insights(t["scripts"]),
         insights.performance_insights(t["performance"]), insights.smell_insights(t["smells"]),
@@ -141,19 +141,25 @@ def ranked_insights(t: dict[str, DataFrame]) -> DataFrame:
     return insights.compile_insights(parts)
 
 
-def report(files: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def report(
+    files: DataFrame, tables: dict[str, DataFrame], caps: dict[str, int] = insights.DETECTOR_CAPS,
+    heat_rows: int = 10,
+) -> DataFrame:
     """One row per repository; joins are between tables of one row per repository.
 
-    The insight list is bounded by the detector caps.
+    Counts, summary and roadmap rest on all insights. The lists shown inside the row, insights and
+    heat map, are bounded by ``caps`` and ``heat_rows``; the whole tables are ``ranked_insights`` and ``module_scores``.
     """
     t = tables
-    top = materialize(ranked_insights(t), "insights")
-    listed = top.groupBy("repo").agg(
+    every = materialize(ranked_insights(t), "insights")
+    shown = insights.cap_per_group(every, ["repo"], "detector", caps, insights.leading())
+    critical = every.groupBy("repo").agg(
+        F.count_if(F.col("severity") == "HIGH").alias("critical_issues_count"))
+    listed = shown.groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct(
             "severity_rank", "detector", "title", "file_path", "line_no", "severity", "category",
             "description", "suggested_fix"))).alias("actionable_insights"),
-        F.count_if(F.col("severity") == "HIGH").alias("critical_issues_count"),
-    )
+    ).join(critical, "repo")
     high = quality.security_total(
         t["security"], t["scripts"], *([t["vulnerable"]] if "vulnerable" in t else []))
     scores = quality.quality_scores(
@@ -164,7 +170,7 @@ def report(files: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         t["vulnerable"].groupBy("repo").agg(F.count("*").alias("vulnerable_dependencies"))
         if "vulnerable" in t else
         files.select("repo").distinct().withColumn("vulnerable_dependencies", F.lit(0)))
-    heat = quality.heat_map(t["module_scores"]).groupBy("repo").agg(
+    heat = quality.heat_map(t["module_scores"], heat_rows).groupBy("repo").agg(
         F.array_sort(F.collect_list(F.struct("rank", "module", "score", "issues"))).alias(
             "complexity_heatmap"))
     langs = t["languages"].groupBy("repo").agg(

@@ -18,6 +18,16 @@ def test_cycles_are_simple_and_unique(spark):
     assert (summary.cycles, summary.modules) == (2, 4)
 
 
+def test_cycles_of_any_length_count(spark):
+    ring = spark.createDataFrame(
+        [("r", f"M{i}", f"M{(i + 1) % 8}") for i in range(8)], "repo string, src string, dst string")
+    assert [r.length for r in graph.find_cycles(ring).collect()] == [8]
+    summary = graph.architecture_summary(ring).first()
+    assert (summary.cycles, summary.domain_score) == (1, 94.0) and "1 circular dependency" in summary.summary
+    bounded = graph.architecture_summary(ring, max_len=6).first()
+    assert bounded.cycles == 0 and "up to 6 modules" in bounded.summary
+
+
 def test_orphans(spark):
     edges = spark.createDataFrame([("r", "A", "B")], "repo string, src string, dst string")
     modules = spark.createDataFrame([("r", m) for m in "ABC"], "repo string, module string")
@@ -74,10 +84,28 @@ def test_exact_clones_skip_near_copies(spark):
     df = spark.createDataFrame(
         rows, "repo string, file_path string, name string, lineno int, source string")
     got = similarity.exact_clones(df).collect()
-    assert {(r.file_b, r.line_b) for r in got} == {("a", 4), ("a", 40), ("b", 1)}
+    assert {(r.file_a, r.line_a, r.file_b, r.line_b) for r in got} == {
+        ("a", 40, "a", 4), ("a", 1, "a", 40), ("a", 1, "b", 1)}
     assert {r.pairs for r in got} == {5}
 
 
+def test_exact_clone_partners_match_brute_force(spark):
+    rng = random.Random(3)
+    items = sorted({(f"t{rng.randrange(3)}", f"f{rng.randrange(3)}", rng.randrange(40)) for _ in range(60)})
+    df = spark.createDataFrame(
+        [("r", f, "n", line, t) for t, f, line in items],
+        "repo string, file_path string, name string, lineno int, source string")
+    got = {(r.file_b, r.line_b, r.file_a, r.line_a, r.pairs) for r in similarity.exact_clones(df).collect()}
+    want = set()
+    for text in ("t0", "t1", "t2"):
+        spots = [(f, line) for t, f, line in items if t == text]
+        apart = lambda a, b: a[0] != b[0] or abs(a[1] - b[1]) > 5
+        pairs = sum(apart(a, b) for a, b in itertools.combinations(spots, 2))
+        for s in spots[1:]:
+            want |= {(*s, *p, pairs) for p in [x for x in spots if apart(x, s)][:1]}
+    assert got == want and len(want) > 40
+
+
 def test_search_ranks_by_cosine(spark):
     docs = spark.createDataFrame(
         [(1, "load user token"), (2, "save user file"), (3, "parse json file")], "id long, text string")

@@ -2,7 +2,7 @@ import ast
 
 from pyspark.sql import functions as F
 
-from corpuscope.operators import structure
+from corpuscope.operators import dependencies, structure
 from corpuscope.operators.dependencies import vulnerable_dependencies
 from corpuscope.sources import corpus, manifests, runs, syntax
 
@@ -107,3 +107,33 @@ def test_vulnerable_versions(spark):
     rows = vulnerable_dependencies(deps, adv).collect()
     assert {(r.installed_version, r.fixed_version, r.severity, r.cve) for r in rows} == {
         ("1.0", "2.0", "MEDIUM", "CVE-1"), ("1.10", "2.0", "MEDIUM", "CVE-1")}
+
+
+def test_versions_are_ordered(spark):
+    rising = ["0.9", "1.0.dev1", "1.0a1", "1.0-beta.2", "1.0-rc1", "1.0-rc1.1", "1.0-rc2", "v1.0.0+build", "1.0.post1",
+              "1.0.0.0.0.0.7", "1.0.0.1", "1.2", "1.10", "2"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rising)], "i int, v string")
+    got = [r.v for r in df.orderBy(dependencies.version_key(F.col("v"))).collect()]
+    assert got == rising
+    same = spark.createDataFrame([("1.0", "v1"), ("2.0.0", "2+x"), ("latest", "0")], "a string, b string")
+    assert all(r[0] for r in same.select(
+        dependencies.version_key(F.col("a")) == dependencies.version_key(F.col("b"))).collect())
+
+
+def test_ranges_with_several_intervals(spark):
+    def affected(*events):
+        rows = ", ".join(
+            f"named_struct('introduced', {i}, 'fixed', {f})" for i, f in
+            [(f"'{v}'", "cast(null as string)") if k == "i" else ("cast(null as string)", f"'{v}'") for k, v in events])
+        return f"array(named_struct('ranges', array(named_struct('events', array({rows})))))"
+
+    two = [("i", "1.0"), ("f", "1.5"), ("i", "2.0"), ("f", "2.3")]
+    cases = [(two, "0.9", False), (two, "1.0", True), (two, "1.5", False), (two, "1.9", False), (two, "2.1", True),
+             (two, "2.3", False), (two[::-1], "2.1", True), ([("i", "1.0"), ("f", "2.0")], "2.0-rc1", True),
+             ([("i", "1.0"), ("f", "2.0")], "1.0-rc1", False), ([("i", "0"), ("f", "2")], "0.0-rc1", True),
+             ([("i", "1.0.0.0.0.0.5"), ("f", "1.0.0.0.0.0.9")], "1.0.0.0.0.0.7", True), ([("f", "3")], "2.9", True),
+             ([("i", "1")], "99", True)]
+    for events, version, want in cases:
+        got = spark.sql(f"select '{version}' v, {affected(*events)} a").select(
+            dependencies.in_ranges(F.col("v"), F.col("a"))).first()[0]
+        assert got is want, (events, version)

@@ -277,8 +277,8 @@ def near_groups(
     degrees = large.groupBy("class").agg(F.count("*").alias("degree"))
     large = materialize(large.join(degrees, "class"), "long-lists")
     central = F.min_by("class", F.struct(-F.col("degree"), "class"))
+    roots = components(links)
     for leader in (central, F.min_by("class", F.xxhash64("pair", "class")), None):
-        roots = components(links)
         state = large.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         several = state.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
         state = materialize(state.join(several.select("pair"), "pair", "left_semi"), "open-lists")
@@ -291,8 +291,8 @@ def near_groups(
             first = state.groupBy("pair").agg(leader.alias("a"))
             pairs = heads.join(first, ["pair", "a"], "left_semi").join(state, "pair").filter("root_a <> root")
             found = confirmed(agreeing(pairs.select("a", F.col("class").alias("b")), classes), sets, percent)
-        links = links.union(materialize(found, "confirmed"))
-    roots = components(links)
+        # stars stand for all links so far
+        roots = components(roots.select(F.col("class").alias("a"), F.col("root").alias("b")).union(found))
     roots = roots.union(roots.select(F.col("root").alias("class"), "root").distinct())  # a root's id need not be the smallest
     named = roots.join(classes.select("class", "id"), "class")
     smallest_id = named.groupBy("root").agg(F.min("id").alias("component_id"))

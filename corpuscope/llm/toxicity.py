@@ -4,8 +4,9 @@ One model counts five-byte sequences inside the words of toxic documents, the ot
 Each discounts its counts and gives the freed mass to a lower order whose continuation counts both classes share,
 so an expression that neither has seen says nothing, and a rare one little. A word's evidence is the
 difference of its two log-likelihoods. A document's features are that difference per word, the
-strongest word, the share of telling words and the length; a logistic regression, fitted on labelled
-rows that the counts have not seen, turns them into a score.
+strongest word, the share of telling words and the length; a logistic regression turns them into a score.
+It is fitted on every labelled row, each measured by counts that leave out the row's own fold; the final
+counts hold all folds. Capitals of ASCII and Latin-1 count as small letters.
 
 Models are fitted on at most ``sample`` labelled rows (those with the smallest hash of their id), so the counts are
 bounded by their text; scoring is one pass over all documents without a shuffle.
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ U64 = np.uint64
 ORDER = 5
 DISCOUNT = 0.75
 TELLING = 3.0
+FOLDS = 4
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z and the Latin-1 capitals in lower case."""
+    out = LOWER[data]
+    capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+    out[1:][capital] += 32
+    return out
 
 
 def spelled(part: np.ndarray, words: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,47 +157,63 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(sample)
-        .withColumn("calibrate", F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(4)) == 0)
+        .withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     )
     rows = materialize(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(chosen), "id").select("text", "label", "calibrate"),  # at most ``sample`` rows of two numbers
+        .join(F.broadcast(chosen), "id").select("text", "label", "fold"),  # at most ``sample`` rows of two numbers
         "toxic-sample",
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            label = np.asarray(batch.column(1).to_numpy(zero_copy_only=False))
+            label, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for i, j in pieces(offsets):
-                part = LOWER[data[offsets[i] : offsets[j]]]
+                part = lowered(data[offsets[i] : offsets[j]])
                 words = Words(part, offsets[i : j + 1] - offsets[i], ALPHANUMERIC)
                 if not len(words.starts):
                     continue
                 keys, begins = spelled(part, words, np.arange(len(words.starts)))
                 size = np.diff(np.append(begins, len(keys)))
-                toxic = np.repeat(label[i:j][words.text] > 0, size)
+                kind = np.repeat((2 * fold[i:j] + (label[i:j] > 0))[words.text], size)
                 grams, which = np.unique(keys, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.astype(np.int64)), pa.array(np.bincount(which, toxic, len(grams)).astype(np.int64)),
-                     pa.array(np.bincount(which, ~toxic, len(grams)).astype(np.int64))], ["gram", "toxic", "ordinary"])
+                counts = [np.bincount(which, kind == n, len(grams)).astype(np.int64) for n in range(2 * FOLDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), *map(pa.array, counts)], ["gram", *names])
 
-    grams = (
-        rows.filter("NOT calibrate").select("text", "label").mapInArrow(count, "gram long, toxic long, ordinary long")
-        .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).orderBy("gram").toArrow()
+    names = [f"n{n}" for n in range(2 * FOLDS)]  # ordinary and toxic of each fold
+    found = (
+        rows.mapInArrow(count, "gram long, " + ", ".join(f"{n} long" for n in names))
+        .groupBy("gram").agg(*[F.sum(n).alias(n) for n in names]).orderBy("gram").toArrow()
     )
-    counts = [grams.column(i).to_numpy() for i in range(3)]
-    if not len(counts[0]) or not counts[1].any() or not counts[2].any():
+    keys = found.column(0).to_numpy().astype(U64)
+    counts = np.array([found.column(n).to_numpy() for n in names], np.int64)
+
+    def model_of(folds: list[int]) -> Model | None:
+        ordinary, toxic = (sum((counts[2 * f + c] for f in folds), np.zeros(len(keys), np.int64)) for c in (0, 1))
+        if not ordinary.any() or not toxic.any():
+            return None
+        seen = ordinary + toxic > 0
+        return Model(*kneser_ney(keys[seen], toxic[seen], ordinary[seen]), np.zeros(6))
+
+    model = model_of(list(range(FOLDS)))
+    if model is None:
         return None
-    model = Model(*kneser_ney(counts[0].astype(U64), counts[1], counts[2]), np.zeros(6))
+    others = [model_of([f for f in range(FOLDS) if f != own]) for own in range(FOLDS)]
+    shared = docs.sparkSession.sparkContext.broadcast(others)  # bounded by the texts of the sample
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            f = model.features(LOWER[data], offsets)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in f.T), batch.column(1)], ["a", "b", "c", "d", "label"])
+            for own, other in enumerate(shared.value):
+                part = batch.filter(pc.equal(batch.column(2), own))
+                if other is None or not part.num_rows:
+                    continue
+                data, offsets = utf8(part.column(0))
+                for i, j in pieces(offsets, 4 << 20):
+                    f = other.features(lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in f.T), part.column(1)[i:j]], ["a", "b", "c", "d", "label"])
 
-    seen = rows.filter("calibrate").select("text", "label").mapInArrow(measure, "a double, b double, c double, d double, label int").toArrow()
+    seen = rows.mapInArrow(measure, "a double, b double, c double, d double, label int").toArrow()
     x = np.column_stack([seen.column(i).to_numpy() for i in range(4)])
     y = seen.column(4).to_numpy() > 0
     if y.all() or not y.any():  # too few rows to calibrate: any telling word decides
@@ -215,7 +242,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
 
 def scored(model: Model, texts: pa.Array) -> np.ndarray:
     data, offsets = utf8(texts)
-    parts = [model.score(model.features(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]))
+    parts = [model.score(model.features(lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]))
              for i, j in pieces(offsets, 4 << 20)]
     return np.concatenate(parts) if parts else np.zeros(0)
 

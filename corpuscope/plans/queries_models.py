@@ -31,7 +31,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def tfidf_sql(max_features: int, by: str = "source") -> str:
+def tfidf_sql(by: str = "source") -> str:
     """Unit tf-idf weights of one- and two-word terms per group of documents."""
     return f"""
 toks AS (SELECT {by} AS repo, doc_id AS id, {words_sql('lower(text)', 2)} AS w FROM documents),
@@ -40,17 +40,15 @@ grams AS (SELECT repo, id, unnest(w) AS term FROM toks
                            lambda i: w[i] || ' ' || w[i + 1])) FROM toks),
 tf AS (SELECT repo, id, term, count(*) AS tf FROM grams GROUP BY ALL),
 stats AS (SELECT repo, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL),
-kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY total DESC, term) AS rn
-                        FROM stats) WHERE rn <= {max_features}),
 sizes AS (SELECT {by} AS repo, count(*) AS n_docs FROM documents GROUP BY 1),
-idf AS (SELECT repo, term, df, ln((n_docs + 1.0) / (df + 1.0)) + 1.0 AS idf FROM kept JOIN sizes USING (repo)),
+idf AS (SELECT repo, term, df, ln((n_docs + 1.0) / (df + 1.0)) + 1.0 AS idf FROM stats JOIN sizes USING (repo)),
 raw AS (SELECT repo, id, term, df, tf * idf AS w FROM tf JOIN idf USING (repo, term)),
 norms AS (SELECT repo, id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY ALL),
 weights AS (SELECT repo, id, term, df, w / norm AS w FROM raw JOIN norms USING (repo, id))"""
 
 
 @query("m2_tfidf", f"""
-WITH {tfidf_sql(3000)}
+WITH {tfidf_sql()}
 SELECT repo, id, term, df, {_half_up('w', 6)} AS w FROM weights""")
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     weights, _ = similarity.tfidf(documents(spark, sf), similarity.ngrams(F.col("text")))
@@ -58,9 +56,9 @@ def tfidf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("m3_similar_pairs", f"""
-WITH {tfidf_sql(3000)},
+WITH {tfidf_sql()},
 vkeys AS (SELECT repo, id, md5(string_agg(term || '=' || (tf.tf), ';' ORDER BY term)) AS vkey
-          FROM kept JOIN tf USING (repo, term) GROUP BY ALL),
+          FROM tf GROUP BY ALL),
 reps AS (SELECT repo, vkey, min(id) AS rep, count(*) AS copies FROM vkeys GROUP BY ALL),
 copies AS (SELECT v.repo, rep AS id_a, id AS id_b, 1.0 AS cosine FROM vkeys v
            JOIN reps r ON r.repo = v.repo AND r.vkey = v.vkey WHERE id <> rep),
@@ -96,8 +94,8 @@ STOP_WORDS = ["the", "and", "of", "to", "in", "is", "les", "la", "le", "de", "de
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-def _search_sql(k: int, max_features: int) -> str:
-    index = tfidf_sql(max_features, "'all'").replace(
+def _search_sql(k: int) -> str:
+    index = tfidf_sql("'all'").replace(
         f"{words_sql('lower(text)', 2)} AS w",
         f"list_filter({words_sql('lower(text)', 2)}, lambda t: t NOT IN ({_STOPS})) AS w",
     )
@@ -118,7 +116,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, id, score, rank FROM ranked WHERE rank <= {k}"""
 
 
-@query("m4_nl_search", _search_sql(5, 8000))
+@query("m4_nl_search", _search_sql(5))
 def search(spark: SparkSession, sf: str) -> DataFrame:
     terms = similarity.ngrams(F.col("text"), STOP_WORDS)
     index, idf = similarity.build_index(documents(spark, sf), terms)

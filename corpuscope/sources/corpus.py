@@ -11,26 +11,33 @@ from corpuscope.functions.text import split_lines
 MAX_FILE_BYTES = 500 * 1024
 
 
-def admit_files(files: DataFrame, path: str = "file_path", size: str = "size_bytes") -> DataFrame:
-    """Supported extension, no ignored directory, not empty, not oversized."""
+def _fits(size: str, max_bytes: int | None) -> Column:
+    """Not empty, and not larger than ``max_bytes`` unless that is None."""
+    some = F.col(size) > 0
+    return some if max_bytes is None else some & (F.col(size) <= max_bytes)
+
+
+def admit_files(
+    files: DataFrame, path: str = "file_path", size: str = "size_bytes", max_bytes: int | None = MAX_FILE_BYTES
+) -> DataFrame:
+    """Supported extension, no ignored directory, not empty; not oversized unless ``max_bytes`` is None."""
     p = F.col(path)
-    return files.filter(
-        (F.col(size) > 0) & (F.col(size) <= MAX_FILE_BYTES) & is_supported(p) & ~in_ignored_dir(p)
-    )
+    return files.filter(_fits(size, max_bytes) & is_supported(p) & ~in_ignored_dir(p))
 
 
 def read_corpus(
-    spark: SparkSession, root: str, repo: Column | None = None, commit_sha: str = ""
+    spark: SparkSession, root: str, repo: Column | None = None, commit_sha: str = "",
+    max_bytes: int | None = MAX_FILE_BYTES,
 ) -> DataFrame:
     """The ``files`` table of a directory tree.
 
-    Size limits are pushed to the file listing, so oversized files are never
-    opened. By default the first directory under ``root`` names the repository.
+    ``max_bytes=None`` reads every size; a limit is pushed to the file listing, so
+    oversized files are never opened. By default the first directory under ``root`` names the repository.
     """
     base = root.rstrip("/")
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        .filter((F.col("length") > 0) & (F.col("length") <= MAX_FILE_BYTES))
+        .filter(_fits("length", max_bytes))
     )
     tail = F.regexp_replace("path", "^.*?" + _quote(base) + "/", "")
     if repo is None:
@@ -40,7 +47,7 @@ def read_corpus(
         file_path = F.col("rel")
     text = F.decode("content", "UTF-8")
     return (
-        admit_files(raw.withColumn("rel", tail), "rel", "length")
+        admit_files(raw.withColumn("rel", tail), "rel", "length", max_bytes)
         .select(
             repo.alias("repo"), F.lit(commit_sha).alias("commit_sha"),
             file_path.alias("file_path"), detect_language(F.col("rel")).alias("language"),

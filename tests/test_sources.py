@@ -17,6 +17,8 @@ def test_read_corpus(spark, tmp_path):
         path.write_bytes(data)
     rows = {(r.repo, r.file_path): r for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
     assert set(rows) == {("one", "a.py"), ("two", "deep/d.TS"), ("two", "latin.md")}
+    every = corpus.read_corpus(spark, str(tmp_path), max_bytes=None)
+    assert {(r.repo, r.file_path) for r in every.collect()} == {*rows, ("two", "big.py")}
     assert rows["one", "a.py"].line_count == 2 and rows["one", "a.py"].language == "Python"
     assert rows["two", "deep/d.TS"].content == rows["two", "latin.md"].content == "é"
 

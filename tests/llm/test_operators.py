@@ -144,6 +144,29 @@ def test_mixing(spark, docs, texts, nothing):
     assert mixing.mixing_scores(docs).count() == len(texts)
 
 
+def test_mixing_counts_all_blocks(spark):
+    """Counts in context are exact, and weights do not depend on which documents share a block."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    many = [(i, words(rng, 60, 300)) for i in range(300)]
+    own = next(mixing.tokens(pa.array([t for _, t in many])))[1]
+    pairs, count = np.unique(own.pairs(), return_counts=True)
+    states = mixing.pair_states(pairs, count)
+    by_way = Counter()
+    for p, n in zip(pairs.tolist(), count.tolist()):
+        for depth in range(mixing.BITS + 1):
+            by_way[depth, p >> (mixing.BITS - depth)] += n
+    for k, p in enumerate(pairs.tolist()):
+        for depth in range(mixing.BITS):
+            zeros, ones = (by_way[depth + 1, (p >> (mixing.BITS - depth)) * 2 + bit] for bit in (0, 1))
+            assert states[depth, k] == mixing.states_of(np.array([zeros]), np.array([ones]))[0]
+    frame = spark.createDataFrame(many, "doc_id long, text string")
+    one, more = ({r.doc_id: r.score for r in mixing.mixing_scores(frame, block_mb=mb).collect()} for mb in (6.0, 0.02))
+    assert len(one) == 300 and all(abs(one[i] - more[i]) < 0.01 for i in one)
+
+
 def library():
     from tokenizers import Tokenizer
 

@@ -78,6 +78,30 @@ def test_similar_pairs_match_brute_force_over_many_cells(spark):
     assert all(abs(got[k] - want[k]) < 0.00051 for k in want)
 
 
+def test_similar_pairs_of_near_copies(spark):
+    one = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    two, alone = one + " lambda", "other words entirely here"
+    items = [("f", 1, one), ("f", 3, one), ("f", 5, two), ("f", 8, one), ("f", 30, one), ("g", 2, one), ("g", 4, two),
+             ("h", 1, two), ("k", 1, alone), ("k", 3, alone)]
+    df = spark.createDataFrame([("r", i, f, n, t) for i, (f, n, t) in enumerate(items)],
+                               "repo string, id long, file_path string, lineno int, text string")
+    for near_lines in (10, 3, 0):
+        rows = similarity.similar_pairs(df, similarity.ngrams(F.col("text")), near_lines=near_lines).collect()
+        got = [(r.id_a, r.id_b) for r in rows]
+        close = lambda x, y: items[x][0] == items[y][0] and abs(items[x][1] - items[y][1]) < near_lines  # noqa: E731, B023
+        same = {t: [i for i, x in enumerate(items) if x[2] == t] for t in (one, two, alone)}
+        first = lambda x, t: next(((min(x, y), max(x, y)) for y in same[t] if not close(x, y)), None)  # noqa: E731, B023
+        want = {first(x, t) for t in same for x in same[t][1:]}
+        a, b = same[one][0], same[two][0]
+        if close(a, b):
+            want |= {first(x, two) for x in same[one]} | {first(x, one) for x in same[two]}
+        else:
+            want.add((a, b))
+            want |= {first(x, u) for t, u in ((one, two), (two, one)) for x in same[t][1:] if close(x, same[t][0])}
+        assert sorted(got) == sorted(want - {None})
+        assert {i for p in got for i in p} >= set(range(8))
+
+
 def test_exact_clones_skip_near_copies(spark):
     rows = [("r", "a", "f", 1, "x  y"), ("r", "a", "g", 4, "x y"), ("r", "a", "h", 40, "x y"),
             ("r", "b", "f", 1, " x y"), ("r", "c", "z", 1, "near"), ("r", "c", "z", 3, "near")]

@@ -10,9 +10,10 @@ the join is repaired by re-encoding the stretch from the last white space before
 it, together with a neighbouring word on each side, and widened until that agrees with the
 pieces on both sides.
 
-``count_tokens`` encodes long texts as overlapping chunks with offsets. Two neighbouring encodings are spliced at a
-token boundary that both place at the same byte, with equal tokens before and behind it and white space between;
-where an overlap has none, it is doubled.
+``count_tokens`` cuts long texts into overlapping chunks and looks up the token count of each white-space-free word in the
+same memo; neither offsets nor ids of the chunks are compared. Two neighbouring chunks are joined at a word that starts at the
+same byte with the same count in both, which only keeps a word cut by a chunk's end from being counted; where an overlap has none,
+it is doubled.
 
 Defined cases: null counts as empty; empty texts give no tokens; repeated rows are rows of their own.
 """

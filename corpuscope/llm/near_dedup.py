@@ -21,6 +21,7 @@ others; empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ U64 = np.uint64
 COORDINATES = 32
 MATCHES = 12
 PREFIX = COORDINATES - MATCHES + 1
+MISSED = 1e-6  # the largest probability with which a link may be missed
 SMALL = 8
 #: what one task compares: two blocks of at most so many classes, of about so many bytes of sets, by so many shingles at once
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 32 << 20, 2048
@@ -249,10 +251,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def missed(percent: int) -> float:
+    """Probability that a pair of just this similarity agrees in fewer than MATCHES coordinates."""
+    p = percent / 100
+    return sum(math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k) for k in range(MATCHES))
+
+
 def near_groups(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept, key."""
+    """One row per document: id, n_shingles, component_id, kept, key.
+
+    A ``percent`` at which links would be missed with more than ``MISSED`` is an error.
+    """
+    if missed(percent) > MISSED:
+        raise ValueError(f"at percent={percent} a link is missed with probability {missed(percent):.1g}, more than {MISSED}")
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = materialize(signatures(source, k), "signatures")
     smallest = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))

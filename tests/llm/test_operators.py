@@ -167,6 +167,13 @@ def test_mixing_counts_all_blocks(spark):
     assert len(one) == 300 and all(abs(one[i] - more[i]) < 0.01 for i in one)
 
 
+def test_near_dedup_refuses_a_percent_at_which_links_are_lost():
+    assert near_dedup.missed(80) < 3e-8
+    for percent in (30, 50):
+        with pytest.raises(ValueError, match="missed"):
+            near_dedup.near_groups(None, percent=percent)
+
+
 def library():
     from tokenizers import Tokenizer
 

@@ -9,6 +9,7 @@ from corpuscope.llm.bpe import count_tokens, encode_documents
 from corpuscope.llm.decontamination import benchmark_leaks
 from corpuscope.llm.exact_dedup import exact_groups
 from corpuscope.llm.licenses import license_labels
+from corpuscope.llm.manifest import verified_manifest
 from corpuscope.llm.mixing import mixing_scores
 from corpuscope.llm.near_dedup import near_groups
 from corpuscope.llm.sharding import shard_rows
@@ -75,10 +76,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(read(spark, sf_dir, "documents"), fold(7) == 0)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_lm_scoring, op5_bpe, op6_licenses,
-        op7_near_dedup, op8_toxicity, op9_token_counts, op10_decontamination,
+        op7_near_dedup, op8_toxicity, op9_token_counts, op10_decontamination, op13_merkle_manifest,
     )
 }
 
@@ -119,4 +124,46 @@ ORACLES = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
                d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE text AS (
+            SELECT doc_id, lang, coalesce(strlen(source) || ':' || source, '-') AS s, coalesce(strlen(lang) || ':' || lang, '-') AS l,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS i, coalesce(strlen(text) || ':' || text, '-') AS t,
+                   coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n,
+                   coalesce(strlen(CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)) || ':' || (CAST(n_chars AS HUGEINT) + 1), '-') AS more,
+                   xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                       lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+                       lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 7 = 0 AS tampered
+            FROM documents),
+        leaf AS (SELECT doc_id, lang, sha256(i || s || l || n || t) AS leaf,
+                        CASE WHEN tampered THEN sha256(i || s || l || more || t) END AS tried FROM text),
+        pos AS MATERIALIZED (
+            SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p,
+                   count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS r FROM leaf),
+        low(r, level, i, n, h) AS (
+            SELECT r, 0, p, n, leaf FROM pos
+            UNION ALL SELECT r, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1
+            GROUP BY r, level, i // 2, n),
+        high(level, i, n, h) AS (
+            SELECT 0, r, count(*) OVER (), h FROM low WHERE n = 1
+            UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1
+            GROUP BY level, i // 2, n),
+        node AS (SELECT r, level, i, h FROM low UNION ALL SELECT -1, level, i, h FROM high),
+        step(k, t, level, i, n, r) AS (
+            SELECT k, 0, 0, p, n, r FROM pos
+            UNION ALL SELECT k, t + 1, CASE WHEN n > 1 THEN level + 1 ELSE 0 END, CASE WHEN n > 1 THEN i // 2 ELSE r END,
+                             CASE WHEN n > 1 THEN (n + 1) // 2 ELSE (SELECT count(*) FROM low WHERE n = 1) END, CASE WHEN n > 1 THEN r ELSE -1 END
+            FROM step WHERE n > 1 OR r >= 0),
+        sibling AS MATERIALIZED (
+            SELECT k, t, s.i % 2 = 1 AS after, h FROM step s LEFT JOIN node o ON o.r = s.r AND o.level = s.level AND o.i = xor(s.i, 1)
+            WHERE n > 1),
+        proof AS (SELECT k, sha256(string_agg(coalesce(h, ''), '' ORDER BY t)) AS proof FROM sibling GROUP BY k),
+        place AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS q FROM sibling),
+        fold(k, q, h) AS (
+            SELECT k, 0, coalesce(tried, leaf) FROM pos
+            UNION ALL SELECT f.k, f.q + 1, sha256(CASE WHEN after THEN p.h || f.h ELSE f.h || coalesce(p.h, '') END)
+            FROM fold f JOIN place p ON p.k = f.k AND p.q = f.q + 1)
+        SELECT doc_id, leaf, s.h AS subroot, t.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root,
+               f.h = t.h AS verified
+        FROM pos JOIN (SELECT r, h FROM low WHERE n = 1) s USING (r), (SELECT h FROM high WHERE n = 1) t
+        JOIN (SELECT k, max_by(h, q) AS h FROM fold GROUP BY k) f ON true LEFT JOIN proof o ON o.k = f.k WHERE pos.k = f.k""",
 }

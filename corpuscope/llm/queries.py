@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.llm.alignment import tokenizer_alignment
 from corpuscope.llm.bpe import count_tokens, encode_documents
 from corpuscope.llm.decontamination import benchmark_leaks
+from corpuscope.llm.embedding_dedup import embedding_groups
 from corpuscope.llm.exact_dedup import exact_groups
 from corpuscope.llm.licenses import license_labels
 from corpuscope.llm.manifest import verified_manifest
@@ -18,11 +20,11 @@ from corpuscope.llm.tables import read
 from corpuscope.llm.toxicity import fit, toxicity_scores
 
 
-def vocabulary() -> str:
-    """Path of the public vocabulary file."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public vocabulary file."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def fold(n: int):
@@ -76,6 +78,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment(
+        read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(read(spark, sf_dir, "documents"), fold(7) == 0)
 
@@ -83,7 +94,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_substring_dedup, op3_sharding, op4_lm_scoring, op5_bpe, op6_licenses,
-        op7_near_dedup, op8_toxicity, op9_token_counts, op10_decontamination, op13_merkle_manifest,
+        op7_near_dedup, op8_toxicity, op9_token_counts, op10_decontamination, op11_embedding_dedup,
+        op12_tokenizer_alignment, op13_merkle_manifest,
     )
 }
 
@@ -124,6 +136,22 @@ ORACLES = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
                d.doc_id = least(d.doc_id, coalesce(low.b, d.doc_id)) AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id""",
+    "op11_embedding_dedup": r"""
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        u AS MATERIALIZED (
+            SELECT k, vec_id, label, x FROM v
+            WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+                  AND len(list_filter(x, lambda c: c <> 0)) > 0),
+        link AS MATERIALIZED (
+            SELECT a.k AS a, b.k AS b, b.vec_id AS id FROM u a JOIN u b ON a.label = b.label AND a.k <> b.k AND len(a.x) = len(b.x)
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+        low AS (SELECT a, min(vec_id) AS id FROM reach JOIN v ON v.k = reach.b GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low.id, vec_id)) AS component_id,
+               vec_id = least(vec_id, coalesce(low.id, vec_id)) AS kept
+        FROM v LEFT JOIN n ON n.a = v.k LEFT JOIN low ON low.a = v.k""",
     "op13_merkle_manifest": r"""
         WITH RECURSIVE text AS (
             SELECT doc_id, lang, coalesce(strlen(source) || ':' || source, '-') AS s, coalesce(strlen(lang) || ':' || lang, '-') AS l,

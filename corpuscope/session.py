@@ -74,11 +74,11 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder for one written table or stream; it goes when the driver ends."""
     path = f"{scratch_root(spark)}/corpuscope/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table while the session still lives; afterwards the folder is the cluster's to clear."""
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
@@ -87,6 +87,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder of any store that Spark reaches; nothing if there is no such folder."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(context._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in store.listStatus(where)] if store.exists(where) else []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -60,31 +60,24 @@ def top_per_key(
 ) -> DataFrame:
     """First ``k`` rows per key in the given order, with their rank.
 
-    Spark keeps only ``k`` rows per key on the map side while ``k`` is at most
-    its group-limit threshold. Beyond that a first round keeps ``k`` rows per
-    key and salt, so no task ever sorts a whole hot key.
+    A first round keeps ``k`` rows per key and salt, so no task ever sorts a whole hot key.
     """
-    if k > 1000:
-        cols = df.columns
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(SALTS)))
-        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_rn", F.row_number().over(inner)).filter(F.col("_rn") <= k).drop(
-            "_rn", "_salt"
-        )
+    cols = df.columns
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(SALTS)))
+    inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    first = salted.withColumn("_rn", F.row_number().over(inner)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
+    return first.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
+
+
+#: partitions for per-row work on texts, for sessions that read few large row groups
+MIN_PARTITIONS = "spark.corpuscope.minPartitions"
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Use every core for per-row work on an input with fewer partitions than cores.
+    """The input as it is, or dealt by ``keys`` to as many partitions as the session's ``MIN_PARTITIONS`` says.
 
-    A large input already has more partitions and is returned as it is, and so
-    is the result of any shuffle, so this never adds a shuffle at scale. Only
-    the plan is looked at; nothing runs.
+    Per-row work on texts needs no shuffle where the input has partitions enough, so nothing is set by default.
     """
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    count = df.sparkSession.conf.get(MIN_PARTITIONS, None)
+    return df if count is None or df.isStreaming else df.repartition(int(count), *keys)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.paths import DOMAIN_KEYWORDS, domain_of_import, domain_of_path
 from corpuscope.functions.text import round_half_up, word_tokens
 from corpuscope.session import materialize
-from corpuscope.skew import salted_join, spread
+from corpuscope.skew import salted_join
 
 # Layer number of each domain; unknown domains are at level 2.
 LAYERS = {
@@ -49,33 +47,117 @@ def module_universe(edges: DataFrame) -> DataFrame:
     return edges.select("repo", ends).distinct()
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those that start at a source or end at a sink, round by round until none does."""
+    left = edges.count()
+    while left:
+        before = left
+        ends = F.explode(F.array(
+            F.struct(F.col("src").alias("node"), F.lit(True).alias("out")),
+            F.struct(F.col("dst").alias("node"), F.lit(False).alias("out")))).alias("e")
+        inner = edges.select("repo", ends).groupBy("repo", F.col("e.node").alias("node")).agg(
+            F.bool_or("e.out").alias("out"), F.bool_and("e.out").alias("only_out")
+        ).filter("out AND NOT only_out").select("repo", "node")
+        edges = materialize(
+            edges.join(inner.withColumnRenamed("node", "src"), ["repo", "src"], "left_semi")
+            .join(inner.withColumnRenamed("node", "dst"), ["repo", "dst"], "left_semi")
+            .select("repo", "src", "dst"), "trimmed-edges")
+        left = edges.count()
+        if left == before:
+            break
+    return edges
+
+
+def component_edges(edges: DataFrame) -> DataFrame:
+    """(repo, src, dst) of the edges inside strongly connected components of two modules or more.
+
+    Sources and sinks are trimmed. Then the largest name spreads forward as a colour until it stands: a component
+    has one colour, and that colour's module reaches backward just its own component inside it. Those
+    edges are found; the others of one colour go on. Every step is a join and a grouping of what is left.
+    """
+    live = materialize(edges.filter("src <> dst").select("repo", "src", "dst").distinct(), "graph-edges")
+    found = live.limit(0)
+    while True:
+        live = _trimmed(live)
+        if live.isEmpty():
+            return found
+        nodes = live.select("repo", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colours, moved = materialize(nodes.withColumn("colour", F.col("node")), "colours"), True
+        while moved:
+            given = live.join(colours.withColumnRenamed("node", "src"), ["repo", "src"]).groupBy(
+                "repo", F.col("dst").alias("node")).agg(F.max("colour").alias("given"))
+            colours = materialize(
+                colours.select("repo", "node", "colour").join(given, ["repo", "node"], "left").select(
+                    "repo", "node", F.greatest("colour", "given").alias("colour"),
+                    F.coalesce(F.col("given") > F.col("colour"), F.lit(False)).alias("moved")), "colours")
+            moved = not colours.filter("moved").isEmpty()
+        one, two = (colours.select("repo", F.col("node").alias(e), F.col("colour").alias(c)) for e, c in (("src", "a"), ("dst", "b")))
+        same = materialize(
+            live.join(one, ["repo", "src"]).join(two, ["repo", "dst"]).filter("a = b")
+            .select("repo", "src", "dst", F.col("a").alias("colour")), "colour-edges")
+        reached = materialize(
+            same.filter("dst = colour").select("repo", F.col("dst").alias("start"), F.col("dst").alias("node")).distinct(), "reached")
+        grown = _backward(reached, same.withColumn("start", F.col("colour")))
+        inside = grown.select("repo", "node").distinct()
+        of = [inside.withColumnRenamed("node", e) for e in ("src", "dst")]
+        found = materialize(found.unionByName(
+            same.join(of[0], ["repo", "src"], "left_semi").join(of[1], ["repo", "dst"], "left_semi")
+            .select("repo", "src", "dst")), "component-edges")
+        live = materialize(
+            same.join(of[0], ["repo", "src"], "left_anti").join(of[1], ["repo", "dst"], "left_anti")
+            .select("repo", "src", "dst"), "graph-edges")
+
+
+def _backward(reached: DataFrame, edges: DataFrame, hops: int = 0, max_hops: int | None = None) -> DataFrame:
+    """(repo, start, node, hops): modules from which ``start`` is reached, with the fewest edges.
+
+    ``reached`` holds the modules ``hops`` edges away. ``edges`` have repo, src, dst and start; without start, a start's
+    paths keep to larger modules.
+    """
+    own = "start" in edges.columns
+    reached = new = materialize(reached.select("repo", "start", "node", F.lit(hops).alias("hops")), "backward")
+    step = edges.withColumnRenamed("dst", "node")
+    while not new.isEmpty() and (max_hops is None or hops < max_hops):
+        hops += 1
+        met = new.join(step, ["repo", "start", "node"] if own else ["repo", "node"])
+        further = (met if own else met.filter("src > start")).select("repo", "start", F.col("src").alias("node")).distinct()
+        new = materialize(
+            further.join(reached, ["repo", "start", "node"], "left_anti").withColumn("hops", F.lit(hops)), "backward")
+        reached = reached.unionByName(new)
+    return reached
+
+
 def find_cycles(edges: DataFrame, max_len: int | None = None) -> DataFrame:
     """Simple directed cycles, each once; ``max_len`` restricts them to so many modules.
 
-    A cycle is grown from its smallest module, so every other module on the
-    path is larger. Distinct edges and the open paths of every length are
-    written once; growth ends when no path is open.
+    Only edges inside strongly connected components are walked. A cycle is grown from its smallest
+    module, so every other module on the path is larger, and only to modules from which the
+    start can still be reached through larger ones, within ``max_len`` if that is given. Growth ends when no path is open.
     """
     e = materialize(edges.select("repo", "src", "dst").distinct(), "cycle-edges")
-    closing = e.select("repo", F.col("src").alias("last"), F.col("dst").alias("start"))
-    found = e.filter("src = dst").select("repo", F.array("src").alias("path"))
-    step = e.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
-    paths = e.filter("src < dst").select(
-        "repo", F.col("src").alias("start"), F.col("dst").alias("last"),
-        F.array("src", "dst").alias("path"),
-    )
-    length = 2
-    while (max_len is None or length <= max_len) and not paths.isEmpty():
-        found = found.unionByName(
-            paths.join(closing, ["repo", "last", "start"], "left_semi").select("repo", "path")
-        )
-        paths = materialize(
-            paths.join(step, ["repo", "last"])
-            .filter((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
-            .select("repo", "start", F.col("next").alias("last"),
-                    F.concat("path", F.array("next")).alias("path")), "open-paths")
-        length += 1
-    return found.select(
+    found = [e.filter("src = dst").select("repo", F.array("src").alias("path"))]
+    inner = component_edges(e)
+    if max_len != 1 and not inner.isEmpty():
+        first = inner.filter("src > dst").select("repo", F.col("dst").alias("start"), F.col("src").alias("node"))
+        back = _backward(first, inner, 1, None if max_len is None else max_len - 1).withColumnRenamed("node", "next")
+        step = inner.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
+        paths = inner.filter("src < dst").select(
+            "repo", F.col("src").alias("start"), F.col("dst").alias("next"), F.array("src").alias("path"))
+        while True:
+            fits = F.lit(True) if max_len is None else F.size("path") + F.col("hops") <= max_len
+            paths = materialize(
+                paths.join(back, ["repo", "start", "next"]).filter(fits).select(
+                    "repo", "start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"),
+                    (F.col("hops") == 1).alias("closes")), "open-paths")
+            if paths.isEmpty():
+                break
+            found.append(paths.filter("closes").select("repo", "path"))
+            paths = paths.join(step, ["repo", "last"]).filter(
+                (F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select("repo", "start", "next", "path")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(
         "repo", F.size("path").alias("length"),
         F.array_join(F.concat("path", F.array(F.element_at("path", 1))), ARROW).alias("cycle"),
     )
@@ -199,22 +281,56 @@ def architecture_summary(edges: DataFrame, max_len: int | None = None) -> DataFr
     )
 
 
-CELL_ROWS = 512
+#: sets that one task compares on either side, and words that it holds densely at once
+CELL_ROWS, COLUMNS = 2048, 1024
+
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], more_than: int) -> np.ndarray:
+    """Which sets of both sides share more than ``more_than`` words.
 
-def _sharing_pairs(cell: Iterator[pd.DataFrame] | pd.DataFrame, more_than: int) -> int:
+    Words go in columns of a bounded number at a time, the most frequent first. A pair that has
+    shared enough is settled, and when all are, the rest is not looked at.
+    """
+    flat = [np.concatenate(side) for side in (left, right)]
+    words, n = np.unique(np.concatenate(flat), return_counts=True)
+    both = np.isin(words, flat[0]) & np.isin(words, flat[1])
+    words, n = words[both], n[both]
+    place = np.empty(len(words), np.int64)
+    place[np.argsort(-n, kind="stable")] = np.arange(len(words))
+    entries = []
+    for side, every in zip((left, right), flat):
+        at = np.searchsorted(words, every)
+        known = np.flatnonzero(at < len(words))
+        known = known[words[at[known]] == every[known]]
+        column = place[at[known]]
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])[known]
+        order = np.argsort(column, kind="stable")
+        entries.append((row[order], column[order]))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(words), COLUMNS):
+        parts = []
+        for size, (row, column) in zip(shared.shape, entries):
+            i, j = np.searchsorted(column, (start, start + COLUMNS))
+            part = np.zeros((size, COLUMNS), np.float32)
+            part[row[i:j], column[i:j] - start] = 1.0
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+        if (shared > more_than).all():
+            break
+    return shared > more_than
+
+
+def _sharing_pairs(cell: pa.Table, first: int, last: int, more_than: int) -> int:
     """Weighted count of set pairs of one cell that share more than ``more_than`` words."""
-    flat = np.concatenate(cell["words"].to_numpy())
-    sizes = cell["words"].str.len().to_numpy()
-    _, column = np.unique(flat, return_inverse=True)
-    matrix = np.zeros((len(cell), column.max() + 1), dtype=np.float32)
-    matrix[np.repeat(np.arange(len(cell)), sizes), column] = 1.0
-    weight = cell["copies"].to_numpy(dtype=np.int64)
-    own, other = cell["own"].to_numpy(), cell["cell_a"].iloc[0]
-    last = cell["cell_b"].iloc[0]
-    left, right = np.flatnonzero(own == other), np.flatnonzero(own == last)
-    close = (matrix[left] @ matrix[right].T) > more_than
-    if other == last:
+    sets = cell.column("words").combine_chunks()
+    ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+    weight, own = cell.column("copies").to_numpy(), cell.column("own").to_numpy()
+    left, right = np.flatnonzero(own == first), np.flatnonzero(own == last)
+    if not len(left) or not len(right):
+        return 0
+    take = lambda rows: [flat[ends[i] : ends[i + 1]] for i in rows.tolist()]
+    close = _overlaps(take(left), take(right), more_than)
+    if first == last:
         close = np.triu(close, k=1)
     return int(weight[left] @ (close @ weight[right]))
 
@@ -225,21 +341,21 @@ def cohesion(
 ) -> DataFrame:
     """Share of file pairs of a module that have more than five words in common.
 
-    ``files``: repo, module, content. Equal word sets are collapsed to one row
+    ``files``: repo, module, content. Words are compared by 64-bit hashes. Equal word sets are collapsed to one row
     with a count. A module is cut into blocks, and one task at a time compares
-    two blocks as matrices and returns a single count, so pairs are never
+    two blocks and returns a single count, so pairs are never
     rows and no task holds more than two blocks. ``head_chars`` limits the
     text that is looked at; by default it is whole.
     """
-    files = spread(files, ["content"])
     text = F.col("content")
     if head_chars is not None:
         text = F.substr(text, F.lit(1), F.lit(head_chars))
-    words = F.array_sort(F.array_distinct(word_tokens(text, min_chars)))
+    words = F.array_sort(F.array_distinct(F.transform(word_tokens(text, min_chars), lambda w: F.xxhash64(w))))
     sets = (
         files.select("repo", "module", words.alias("words"))
         .groupBy("repo", "module", "words").agg(F.count("*").alias("copies"))
     )
+    sets = materialize(sets, "word-sets")
     per_module = sets.groupBy("repo", "module").agg(
         F.sum("copies").alias("files"), F.count("*").alias("sets"),
         F.sum(
@@ -259,15 +375,13 @@ def cohesion(
                 F.least("own", "other").alias("cell_a"), F.greatest("own", "other").alias("cell_b"))
     )
 
-    def count_cell(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"repo": pd.Series([key[0]], dtype=object), "module": pd.Series([key[1]], dtype=object),
-             "n": [_sharing_pairs(pdf, shared_more_than)]}
-        )
+    def count_cell(key: tuple, cell: pa.Table) -> pa.Table:
+        n = _sharing_pairs(cell, key[2].as_py(), key[3].as_py(), shared_more_than)
+        return pa.table({"repo": pa.array([key[0].as_py()], pa.string()), "module": pa.array([key[1].as_py()], pa.string()), "n": [n]})
 
     counted = (
         cells.groupBy("repo", "module", "cell_a", "cell_b")
-        .applyInPandas(count_cell, "repo string, module string, n bigint")
+        .applyInArrow(count_cell, "repo string, module string, n bigint")
         .groupBy("repo", "module").agg(F.sum("n").alias("across"))
     )
     shared = F.col("same_set") + F.coalesce("across", F.lit(0))

@@ -29,22 +29,47 @@ def test_files(files: DataFrame) -> DataFrame:
     return files.filter(is_test_file(F.col("file_path")))
 
 
-def substrings(c: Column) -> Column:
-    """Distinct non-empty substrings of a short text such as a file stem."""
-    n = F.length(c)
-    return F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(c, i, k)),
-    )))
+GRAM = 3
+
+
+def grams(c: Column, n: int = GRAM) -> Column:
+    """Distinct runs of ``n`` characters; a shorter text has none."""
+    starts = F.sequence(F.lit(1), F.length(c) - (n - 1))
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))))
+
+
+def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(repo, needle, text) of all needles that occur in a text of their repository.
+
+    ``needles``: repo, needle; ``texts``: repo, text; both are made distinct. A needle is posted once, under its rarest run of
+    three characters among the texts, or under itself if it is shorter, and meets only texts with that run. Texts are as many rows as
+    characters at most. Empty needles and nulls match nothing.
+    """
+    needles = needles.select("repo", "needle").filter("needle <> ''").distinct()
+    texts = texts.select("repo", "text").filter("text IS NOT NULL").distinct()
+    sizes = [F.coalesce(grams(F.col("text"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]
+    spread_out = texts.select("repo", "text", F.explode(F.concat(*sizes)).alias("gram"))
+    wanted = needles.select("repo", "needle", F.explode(
+        F.coalesce(grams(F.col("needle")), F.array("needle"))).alias("gram"))
+    # runs that no needle has meet nothing; the others are counted before a needle chooses
+    spread_out = materialize(
+        spread_out.join(wanted.select("repo", "gram").distinct(), ["repo", "gram"], "left_semi"), "grams")
+    often = spread_out.groupBy("repo", "gram").agg(F.count("*").alias("n"))
+    posted = (
+        wanted.join(often, ["repo", "gram"], "left").groupBy("repo", "needle")
+        # a run that no text has rules its needle out
+        .agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("least"))
+        .filter("least.n IS NOT NULL").select("repo", "needle", F.col("least.gram").alias("gram"))
+    )
+    return posted.join(spread_out, ["repo", "gram"]).filter(F.contains("text", F.col("needle"))).select("repo", "needle", "text")
 
 
 def map_tests_by_name(sources: DataFrame, tests: DataFrame) -> DataFrame:
     """(repo, test_path, file_path): the one source each test is named after.
 
     An equal stem wins, else a stem that contains or is contained in the
-    other; ties go to the smallest path. Containment is an equality join on
-    the substrings of the longer stem. It runs on distinct stems, so a file
-    name repeated all over a repository is joined once.
+    other; ties go to the smallest path. Containment is looked up among distinct stems, so a file
+    name repeated all over a repository is looked up once.
     """
     src = (
         sources.select("repo", source_stem(F.col("file_path")).alias("stem"), "file_path")
@@ -54,17 +79,11 @@ def map_tests_by_name(sources: DataFrame, tests: DataFrame) -> DataFrame:
         "repo", F.col("file_path").alias("test_path"), test_stem(F.col("file_path")).alias("clean")
     ).filter("clean <> ''")
     clean = named.select("repo", "clean").distinct()
-    inside = src.select("repo", "stem", "file_path", F.explode(substrings(F.col("stem"))).alias("clean"))
-    around = clean.select("repo", "clean", F.explode(substrings(F.col("clean"))).alias("stem"))
-    hits = (
-        salted_join(inside, clean, ["repo", "clean"], ["stem"], salts=4)
-        .select("repo", "clean", "stem", "file_path")
-        .unionByName(
-            salted_join(around, src, ["repo", "stem"], ["clean"], salts=4)
-            .select("repo", "clean", "stem", "file_path")
-        )
-    )
-    best = hits.groupBy("repo", "clean").agg(
+    inside = contained(clean.withColumnRenamed("clean", "needle"), src.select("repo", F.col("stem").alias("text")))
+    around = contained(src.select("repo", F.col("stem").alias("needle")), clean.withColumnRenamed("clean", "text"))
+    hits = inside.select("repo", F.col("needle").alias("clean"), F.col("text").alias("stem")).unionByName(
+        around.select("repo", F.col("text").alias("clean"), F.col("needle").alias("stem")))
+    best = hits.join(src, ["repo", "stem"]).groupBy("repo", "clean").agg(
         F.min(F.struct((F.col("stem") != F.col("clean")).alias("partial"), F.col("file_path")))
         .alias("b")
     ).select("repo", "clean", F.col("b.file_path").alias("file_path"))
@@ -87,10 +106,9 @@ def map_tests_by_import(sources: DataFrame, tests: DataFrame, mapped: DataFrame)
     stems = sources.select("repo", "file_path", file_stem(F.col("file_path")).alias("stem")).filter(
         "stem <> ''"
     )
-    found = salted_join(
-        distinct.select("repo", "statement", F.explode(substrings(F.col("statement"))).alias("stem")),
-        stems.select("repo", "stem").distinct(), ["repo", "stem"], ["statement"], salts=4,
-    )
+    found = contained(
+        stems.select("repo", F.col("stem").alias("needle")), distinct.withColumnRenamed("statement", "text")
+    ).select("repo", F.col("needle").alias("stem"), F.col("text").alias("statement"))
     by_stem = salted_join(statements, found, ["repo", "statement"], ["test_path"]).select(
         "repo", "test_path", "stem"
     ).distinct()
@@ -125,10 +143,7 @@ def untested_functions(
     names = public.groupBy("repo", "file_path").agg(F.collect_set("name").alias("names"))
     texts = tests.select("repo", F.col("file_path").alias("test_path"), "content")
     seen = (
-        salted_join(
-            mapping.join(names, ["repo", "file_path"]), texts, ["repo", "test_path"],
-            ["file_path"], salts=4,
-        )
+        mapping.join(names, ["repo", "file_path"]).join(texts, ["repo", "test_path"])
         .select("repo", "file_path", F.explode(
             F.filter("names", lambda n: F.contains(F.col("content"), n))).alias("name"))
         .distinct()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from corpuscope.operators import coverage, incremental
@@ -23,6 +25,18 @@ def test_tests_map_by_name_then_import(files):
         ("app/auth.py", "logout"), ("app/authority.py", "f")}
 
 
+def test_contained_matches_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("ab_é", k=n))
+    needles = [("r" if i % 4 else "q", rng.choice([None, "", word(rng.randint(1, 6))])) for i in range(80)]
+    texts = [("r" if i % 3 else "q", rng.choice([None, "", word(rng.randint(1, 40))])) for i in range(120)]
+    got = coverage.contained(
+        spark.createDataFrame(needles, "repo string, needle string"), spark.createDataFrame(texts, "repo string, text string"))
+    rows = [tuple(r) for r in got.collect()]
+    want = {(a, n, t) for a, n in needles for b, t in texts if a == b and n and t is not None and n in t}
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
+
+
 def test_split_is_a_partition_and_no_diff_means_all(spark):
     schema = "repo string, file_path string, content string"
     old = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "1", "z")], schema)

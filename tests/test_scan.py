@@ -1,9 +1,10 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from corpuscope.operators import scan
+from corpuscope.operators import rule_matcher, scan
 from corpuscope.operators.insights import cap_per_group
 from corpuscope.operators.rule_packs import JAVASCRIPT, PERFORMANCE, SECRETS, SECURITY, SPAN
 
@@ -41,6 +42,39 @@ def test_script_rules_only_on_scripts_and_secrets_redacted(files):
     assert [r.snippet for r in found if r.file_path == "s.py"] == ["[REDACTED]"]
 
 
+def test_rules_as_data_find_what_the_scan_finds(spark, files):
+    packs = [*SECURITY, *SECRETS, *JAVASCRIPT, *PERFORMANCE]
+    rng = random.Random(1)
+    bits = ["password", " = ", "'hunter22'", "eval", " (", ")", "requests.get(", "url", "AKIA" + "A" * 16, "ſecret", "PASSWORD",
+            "console.log(", "==", "var ", "x", ".innerHTML", "sum([", "])", "verify", "False", "for ", "await ", "ghp_" + "a" * 36, "\u212aey"]
+    lines = [pad("".join(rng.choices(bits, k=rng.randint(1, 8)))) for _ in range(300)]
+    df = files(*[("r", f"f{i}", rng.choice(["Python", "JavaScript"]), t) for i, t in enumerate(lines)], ("r", "none", None, None))
+    got = sorted(map(str, rule_matcher.match_files(df, packs).collect()))
+    assert got == sorted(map(str, scan.scan_files(df, packs).collect())) and len(got) > 150
+
+
+def test_literals_are_in_every_match():
+    assert rule_matcher.required_literals(r"\b(eval|exec)\s*\(") in ({"eval", "exec"}, {"("}, {"e"})
+    assert rule_matcher.required_literals(r"(?:abc|d)?[xy]+\w*") is None
+    assert rule_matcher.required_literals(r"hashlib\.MD5") == {"hashlib.md5"}
+    assert rule_matcher.required_literals(r"(?:foo)+x?") == {"foo"}
+    assert rule_matcher.required_literals(r"é+") is None
+
+
+def test_large_packs_plan_fast(spark, files):
+    many = [SECURITY[2]._replace(rule_id=f"r{i}", regex=rf"word{i}\s*=\s*\d+") for i in range(5000)]
+    table = spark.createDataFrame([(r.pack, r.rule_id, r.title, r.regex, r.severity, r.category, r.description, r.fix) for r in many],
+                                  "pack string, rule_id string, title string, regex string, severity string, category string, "
+                                  "description string, fix string")
+    df = files(("r", "a.py", "Python", pad("word17 = 4", "word4999=1", "word5000 = 2")))
+    rules = rule_matcher.rules_of(table)
+    begin = time.perf_counter()
+    found = rule_matcher.match_files(df, rules)
+    found._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - begin < 5
+    assert sorted((r.rule_id, r.line_no) for r in found.collect()) == [("r17", 1), ("r4999", 2)]
+
+
 def test_match_scope_counts_every_match(files):
     df = files(("r", "a.py", "Python", pad("sum([1]) + max([2])", "print(1)")))
     found = scan.scan_files(df, PERFORMANCE)

@@ -56,6 +56,41 @@ def repo_rollup(runs: DataFrame, by: tuple[str, ...] = ("user_id", "repo")) -> D
     )
 
 
+def rollup_parts(runs: DataFrame, by: tuple[str, ...] = ("user_id", "repo")) -> DataFrame:
+    """What a batch of runs adds to ``repo_rollup`` and ``leaderboard``: counts, sums and extremes that merge in any order."""
+    return runs.groupBy(*by).agg(
+        F.max(F.struct("analyzed_at", "run_id", "repo_name")).alias("newest"), F.count("*").alias("run_count"),
+        F.count("quality_score").alias("scored"), F.sum("quality_score").alias("total_quality"),
+        F.max("quality_score").alias("best_quality"), F.min("quality_score").alias("worst_quality"),
+        F.min("security_high").alias("min_security_issues"),
+    )
+
+
+def merge_rollups(parts: DataFrame, by: tuple[str, ...] = ("user_id", "repo")) -> DataFrame:
+    """Parts of the same repositories as one; the result is a table of parts again."""
+    return parts.groupBy(*by).agg(
+        F.max("newest").alias("newest"), F.sum("run_count").alias("run_count"), F.sum("scored").alias("scored"),
+        F.sum("total_quality").alias("total_quality"), F.max("best_quality").alias("best_quality"),
+        F.min("worst_quality").alias("worst_quality"), F.min("min_security_issues").alias("min_security_issues"),
+    )
+
+
+def finish_rollup(parts: DataFrame, by: tuple[str, ...] = ("user_id", "repo")) -> DataFrame:
+    """Merged parts as ``repo_rollup`` gives them."""
+    return parts.select(
+        *by, F.col("newest.repo_name").alias("repo_name"), F.col("newest.analyzed_at").alias("last_analyzed"), "run_count",
+        F.try_divide("total_quality", "scored").alias("avg_quality"), "best_quality", "worst_quality",
+    )
+
+
+def finish_leaderboard(parts: DataFrame, limit: int | None = None) -> DataFrame:
+    """Merged parts as ``leaderboard`` gives them."""
+    best = merge_rollups(parts, ("repo",)).select(
+        "repo", F.col("newest.repo_name").alias("repo_name"), F.col("best_quality").alias("best_score"),
+        "min_security_issues", F.col("run_count").alias("total_runs"))
+    return best if limit is None else best.orderBy(F.desc("best_score"), F.asc("repo")).limit(limit)
+
+
 def leaderboard(runs: DataFrame, limit: int | None = None) -> DataFrame:
     """Repositories by best score."""
     best = runs.groupBy("repo").agg(

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.functions.text import round_half_up
+from corpuscope.operators import history
 from corpuscope.operators.rule_packs import PROSE
 from corpuscope.plans import bindings as b
+from corpuscope.plans.queries_aggregates import _half_up
 from corpuscope.plans.queries_rules import rule_hits_sql
 from corpuscope.plans.registry import query
 from corpuscope.session import scratch_path
@@ -105,3 +108,21 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
         rows, f"{root}/table", f"{root}/checkpoint", ["user_id"], "ts", ["event_id"]
     )
     return st.read_upserted(spark, f"{root}/table", ["user_id"], ["event_id"])
+
+
+@query("st6_stream_rollup", f"""
+SELECT user_id, event_type AS repo, arg_max('e' || CAST(event_id AS VARCHAR), (ts, event_id)) AS repo_name,
+       count(*) AS run_count, {_half_up("avg(CAST(value AS DOUBLE))", 5)} AS avg_quality,
+       max(CAST(value AS DOUBLE)) AS best_quality, min(CAST(value AS DOUBLE)) AS worst_quality
+FROM events GROUP BY user_id, event_type""")
+def rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as runs: what each batch adds is written, and the parts are merged when they are read."""
+    root = scratch_path(spark, "rollup")
+    runs = _events(spark, sf).select(
+        "user_id", F.col("event_type").alias("repo"), F.expr("'e' || CAST(event_id AS STRING)").alias("repo_name"),
+        F.col("ts").alias("analyzed_at"), F.col("event_id").alias("run_id"), F.col("value").cast("double").alias("quality_score"),
+        (F.col("user_id") % 5).alias("security_high"),
+    )
+    st.stream_rollup(runs, f"{root}/table", f"{root}/checkpoint")
+    return history.finish_rollup(st.read_rollup(spark, f"{root}/table")).drop("last_analyzed").withColumn(
+        "avg_quality", round_half_up(F.col("avg_quality"), 5))

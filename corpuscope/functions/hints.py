@@ -84,14 +84,18 @@ def docstring_purpose(name: Column) -> Column:
     )
 
 
-def docstring_text(name: Column, params: Column, source: Column) -> Column:
-    """Full docstring with an Args block of up to six parameters and a Returns block.
+#: parameters that the reference's docstrings list at most
+REFERENCE_PARAMS = 6
+
+
+def docstring_text(name: Column, params: Column, source: Column, limit: int | None = None) -> Column:
+    """Full docstring with an Args block of all or the first ``limit`` parameters and a Returns block.
 
     ``params`` is an array of structs with a ``name`` field.
     """
     quotes = F.lit('"""')
     args = F.transform(
-        F.slice(params, 1, 6),
+        params if limit is None else F.slice(params, 1, limit),
         lambda p: F.concat(
             F.lit("    "), p["name"], F.lit(" ("), infer_param_type(p["name"]), F.lit("): The "),
             F.replace(p["name"], F.lit("_"), F.lit(" ")), F.lit(" value."),

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import number_text, round_half_up
+from corpuscope.functions.text import first_items, number_text, round_half_up
 
 
 def severity_rank(severity: Column) -> Column:
@@ -138,11 +138,15 @@ def executive_summary(
     )
 
 
+#: steps that the reference names at most
+REFERENCE_STEPS = 4
+
+
 def roadmap(
     critical: Column, vulnerable: Column, coverage: Column, architecture: Column,
-    smells: Column, bug_risks: Column,
+    smells: Column, bug_risks: Column, max_steps: int | None = None,
 ) -> Column:
-    """At most four applicable steps, in fixed order."""
+    """All applicable steps, or the first ``max_steps``, in fixed order."""
     steps = F.array(
         F.when(
             (critical > 0) | (vulnerable > 0),
@@ -181,7 +185,7 @@ def roadmap(
             ),
         ),
     )
-    kept = F.slice(F.array_compact(steps), 1, 4)
+    kept = first_items(F.array_compact(steps), max_steps)
     default = F.array(
         F.lit(
             "Maintain the current quality bar and use the dashboard to monitor "

@@ -70,3 +70,13 @@ def round_half_up(c: Column, digits: int) -> Column:
 def number_text(c: Column) -> Column:
     """A number as whole-number text, rounded half up."""
     return F.floor(c + F.lit(0.5)).cast("bigint").cast("string")
+
+
+def first_chars(text: Column, length: int | None) -> Column:
+    """The whole text, or its first ``length`` characters."""
+    return text if length is None else F.substr(text, F.lit(1), F.lit(length))
+
+
+def first_items(items: Column, count: int | None) -> Column:
+    """The whole array, or its first ``count`` items."""
+    return items if count is None else F.slice(items, 1, count)

@@ -30,11 +30,11 @@ def type_hint_gaps(functions: DataFrame) -> DataFrame:
     )
 
 
-def generate_docstrings(functions: DataFrame) -> DataFrame:
-    """Docstrings for undocumented public functions and constructors."""
+def generate_docstrings(functions: DataFrame, max_params: int | None = None) -> DataFrame:
+    """Docstrings for undocumented public functions and constructors, with all or ``max_params`` parameters."""
     private = F.startswith("name", F.lit("_")) & (F.col("name") != "__init__")
     return functions.filter((F.col("docstring") == "") & ~private).select(
         "repo", "file_path", "name", "lineno",
-        docstring_text(F.col("name"), F.col("params"), F.col("source")).alias("docstring"),
+        docstring_text(F.col("name"), F.col("params"), F.col("source"), max_params).alias("docstring"),
         infer_return_type(F.col("source")).alias("return_type"),
     )

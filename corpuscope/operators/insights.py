@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.hints import fix_template
 from corpuscope.functions.scoring import severity_rank
-from corpuscope.functions.text import number_text
+from corpuscope.functions.text import first_items, number_text
 from corpuscope.operators.scan import dedup_first
 from corpuscope.skew import SALTS
 
@@ -109,11 +109,11 @@ def complexity_insights(complexity: DataFrame) -> DataFrame:
     )
 
 
-def coverage_insights(hotspots: DataFrame, untested: DataFrame) -> DataFrame:
-    """High-risk files without tests, naming up to four of their functions."""
+def coverage_insights(hotspots: DataFrame, untested: DataFrame, names_shown: int | None = None) -> DataFrame:
+    """High-risk files without tests, naming all or ``names_shown`` of their functions."""
     c = F.col
     names = untested.groupBy("repo", "file_path").agg(
-        F.slice(F.array_sort(F.collect_set("name")), 1, 4).alias("fns")
+        first_items(F.array_sort(F.collect_set("name")), names_shown).alias("fns")
     )
     rows = hotspots.join(names, ["repo", "file_path"], "left")
     listed = F.coalesce(F.array_join("fns", ", "), F.lit(""))
@@ -139,14 +139,14 @@ def layer_insights(violations: DataFrame) -> DataFrame:
     )
 
 
-def bug_risk_insights(risks: DataFrame) -> DataFrame:
+def bug_risk_insights(risks: DataFrame, factors_shown: int | None = None) -> DataFrame:
     c = F.col
     return _insight(
         risks.filter(c("risk_level") == "HIGH"), "bug_risk", F.lit("HIGH"), "QUALITY",
         F.concat(F.lit("ML Bug Risk: "), c("name"), F.lit("() — "),
                  number_text(c("risk_score")), F.lit("/100")),
         F.concat(F.lit("ML model flags high bug likelihood. Factors: "),
-                 F.array_join(F.slice("factors", 1, 3), ", ")),
+                 F.array_join(first_items(F.col("factors"), factors_shown), ", ")),
         c("file_path"), c("lineno"),
         F.lit("Add error handling, reduce complexity, add types and docs."), c("risk_score"),
     )

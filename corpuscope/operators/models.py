@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import round_half_up
+from corpuscope.functions.text import first_items, round_half_up
 from corpuscope.operators.structure import FEATURES
 
 # Training rows of the bug model (features in FEATURES order) and labels.
@@ -89,11 +91,97 @@ def complexity_coefficients(alpha: float = 1.0) -> tuple[tuple[float, ...], floa
     return _fold(w, y.mean(), mean, spread)
 
 
-def linear_score(coefficients: tuple[tuple[float, ...], float]) -> Column:
+def _summed(rows: DataFrame, columns: list[str], work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """``work`` on the rows as a matrix, summed: every task returns one vector, and Spark adds these up."""
+    rows = rows.select(*[F.col(c).cast("double") for c in columns]).dropna()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+            part = work(x)
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "part"])
+
+    sums = rows.mapInArrow(run, "place long, part double").groupBy("place").agg(F.sum("part").alias("s")).collect()
+    out = np.zeros(len(sums))
+    for place, s in sums:
+        out[place] = s
+    return out
+
+
+def _spreads(rows: DataFrame, columns: list[str], features: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number of rows, means of all columns, and population deviations of the first ``features`` (1 where constant)."""
+    sums = _summed(rows, columns, lambda x: np.append(x.sum(axis=0), len(x)))
+    if not len(sums) or not sums[-1]:
+        raise ValueError("there are no complete rows to learn from")
+    n, mean = sums[-1], sums[:-1] / sums[-1]
+    spread = np.sqrt(_summed(rows, columns, lambda x: ((x - mean) ** 2).sum(axis=0)) / n)[:features]
+    spread[spread < 1e-12 * np.maximum(1.0, np.abs(mean[:features]))] = 1.0
+    return n, mean, spread
+
+
+def fit_complexity(
+    rows: DataFrame, target: str, features: list[str] = FEATURES, alpha: float = 1.0
+) -> tuple[tuple[float, ...], float]:
+    """Ridge regression of ``target`` on labelled rows, from normal equations that Spark sums up.
+
+    Rows with a null are left out. Only sums as wide as the square of the number of features come to the driver.
+    """
+    columns, k = [*features, target], len(features)
+    _, mean, spread = _spreads(rows, columns, k)
+
+    def work(x: np.ndarray) -> np.ndarray:
+        z = (x[:, :k] - mean[:k]) / spread
+        return np.append((z.T @ z).ravel(), z.T @ (x[:, k] - mean[k]))
+
+    sums = _summed(rows, columns, work)
+    w = np.linalg.solve(sums[: k * k].reshape(k, k) + alpha * np.eye(k), sums[k * k :])
+    return _fold(w, mean[k], mean[:k], spread)
+
+
+def fit_bug_risk(
+    rows: DataFrame, label: str, features: list[str] = FEATURES, strength: float = 1.0, rounds: int = 50
+) -> tuple[tuple[float, ...], float]:
+    """Ridge-penalised logistic regression of a 0/1 ``label``, by Newton steps over sums that Spark adds up, one pass a step."""
+    columns, k = [*features, label], len(features)
+    _, mean, spread = _spreads(rows, columns, k)
+    penalty = np.eye(k + 1) / strength
+    penalty[-1, -1] = 0.0
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def work(x: np.ndarray) -> np.ndarray:
+            design = np.hstack([(x[:, :k] - mean[:k]) / spread, np.ones((len(x), 1))])
+            score = design @ beta
+            p = 1.0 / (1.0 + np.exp(-score))
+            loss = np.logaddexp(0.0, score) - x[:, k] * score
+            return np.concatenate([[loss.sum()], design.T @ (p - x[:, k]), (design.T @ (design * (p * (1 - p))[:, None])).ravel()])
+
+        got = _summed(rows, columns, work)
+        curve = got[k + 2 :].reshape(k + 1, k + 1) + penalty
+        return got[0] + beta @ penalty @ beta / 2, got[1 : k + 2] + penalty @ beta, curve
+
+    beta = np.zeros(k + 1)
+    loss, slope, curve = sums(beta)
+    for _ in range(rounds):
+        step = np.linalg.solve(curve, slope)
+        while True:  # a step that makes the loss larger is halved
+            tried = sums(beta - step)
+            if tried[0] <= loss + 1e-12 * abs(loss) or np.abs(step).max() < 1e-10:
+                break
+            step = step / 2
+        beta, (loss, slope, curve) = beta - step, tried
+        if np.abs(step).max() < 1e-9:
+            break
+    return _fold(beta[:-1], beta[-1], mean[:k], spread)
+
+
+def linear_score(coefficients: tuple[tuple[float, ...], float], features: list[str] = FEATURES) -> Column:
     """Weighted sum of the feature columns plus the bias, in feature order."""
     weights, bias = coefficients
     total = F.lit(bias)
-    for name, w in zip(FEATURES, weights):
+    for name, w in zip(features, weights):
         total = total + F.col(name) * F.lit(w)
     return total
 
@@ -123,9 +211,19 @@ def bug_risk_heuristic(features: DataFrame, floor: float = 40.0) -> DataFrame:
     )
 
 
-def bug_risk_model(features: DataFrame, floor: float = 40.0) -> DataFrame:
-    """Model probability times 70 plus bonuses for conspicuous features."""
-    odds = linear_score(bug_coefficients())
+#: factors that the reference names at most
+REFERENCE_FACTORS = 4
+
+
+def bug_risk_model(
+    features: DataFrame, floor: float = 40.0, max_factors: int | None = None,
+    coefficients: tuple[tuple[float, ...], float] | None = None,
+) -> DataFrame:
+    """Model probability times 70 plus bonuses for conspicuous features; ``factors`` names all or ``max_factors`` of them.
+
+    ``coefficients`` are those of ``fit_bug_risk``; by default those of the fixed rows.
+    """
+    odds = linear_score(coefficients or bug_coefficients())
     base = F.lit(70.0) / (F.lit(1.0) + F.exp(-odds))
     loc = F.col("loc_100") * 100.0
     whole = lambda c: F.floor(c + F.lit(1e-9)).cast("int").cast("string")
@@ -141,7 +239,7 @@ def bug_risk_model(features: DataFrame, floor: float = 40.0) -> DataFrame:
     bonus = F.lit(0.0)
     for test, points, _ in signs:
         bonus = bonus + F.when(test, F.lit(points)).otherwise(F.lit(0.0))
-    factors = F.slice(F.array_compact(F.array(*[F.when(t, text) for t, _, text in signs])), 1, 4)
+    factors = first_items(F.array_compact(F.array(*[F.when(t, text) for t, _, text in signs])), max_factors)
     scored = features.withColumn("_score", F.least(F.lit(100.0), base + bonus))
     return scored.filter(F.col("_score") >= floor).select(
         *_columns(features), round_half_up(F.col("_score"), 1).alias("risk_score"),
@@ -149,9 +247,11 @@ def bug_risk_model(features: DataFrame, floor: float = 40.0) -> DataFrame:
     )
 
 
-def complexity_model(features: DataFrame, floor: float = 40.0) -> DataFrame:
-    """Predicted complexity next to the cyclomatic number in column ``complexity``."""
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), linear_score(complexity_coefficients())))
+def complexity_model(
+    features: DataFrame, floor: float = 40.0, coefficients: tuple[tuple[float, ...], float] | None = None
+) -> DataFrame:
+    """Predicted complexity next to the cyclomatic number in column ``complexity``; ``coefficients`` as of ``fit_complexity``."""
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), linear_score(coefficients or complexity_coefficients())))
     scored = features.withColumn("_score", score).withColumn(
         "_delta", F.col("_score") - F.col("complexity") * 10.0
     )

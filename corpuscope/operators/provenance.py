@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.text import first_chars
 from corpuscope.skew import salted_join, top_per_key
 
 
-def attach_blame(findings: DataFrame, blame: DataFrame) -> DataFrame:
-    """Author, short commit, time and summary of each finding's line.
+#: characters of a commit, a blame summary and a commit message that the reference shows
+REFERENCE_SHA, REFERENCE_SUMMARY, REFERENCE_MESSAGE = 8, 60, 80
+
+
+def attach_blame(
+    findings: DataFrame, blame: DataFrame, sha_chars: int | None = None, summary_chars: int | None = None
+) -> DataFrame:
+    """Author, commit, time and summary of each finding's line, the texts whole or cut to so many characters.
 
     Findings about a whole file or the architecture keep null columns. Blame
     has one row per line, so a key is only as hot as one line's findings.
     """
     lines = blame.select(
         "repo", "file_path", "line_no", "author", "email",
-        F.substr("commit_sha", F.lit(1), F.lit(8)).alias("commit"),
+        first_chars(F.col("commit_sha"), sha_chars).alias("commit"),
         F.col("ts").alias("blame_ts"),
-        F.substr("summary", F.lit(1), F.lit(60)).alias("summary"),
+        first_chars(F.col("summary"), summary_chars).alias("summary"),
     )
     placed = (F.col("line_no") > 0) & (F.col("file_path") != "architecture")
     key = findings.withColumn("_line", F.when(placed, F.col("line_no")))
@@ -74,7 +81,10 @@ def churn_hotspots(
     return top_per_key(hot, ["repo"], [F.desc("commit_count"), F.asc("file_path")], limit)
 
 
-def recent_commits(commits: DataFrame, commit_files: DataFrame, limit: int | None = None) -> DataFrame:
+def recent_commits(
+    commits: DataFrame, commit_files: DataFrame, limit: int | None = None, sha_chars: int | None = None,
+    message_chars: int | None = None,
+) -> DataFrame:
     """Commits of each repository with the number of files they changed; with ``limit`` the newest and their rank."""
     newest = commits if limit is None else latest_commits(commits, limit)
     sizes = (
@@ -85,7 +95,7 @@ def recent_commits(commits: DataFrame, commit_files: DataFrame, limit: int | Non
         .distinct().groupBy("repo", "sha").agg(F.count("*").alias("files_changed"))
     )
     return newest.join(sizes, ["repo", "sha"], "left").select(
-        "repo", F.substr("sha", F.lit(1), F.lit(8)).alias("sha"),
-        F.substr(F.trim("message"), F.lit(1), F.lit(80)).alias("message"), "author_email", "ts",
+        "repo", first_chars(F.col("sha"), sha_chars).alias("sha"),
+        first_chars(F.trim("message"), message_chars).alias("message"), "author_email", "ts",
         F.coalesce("files_changed", F.lit(0)).alias("files_changed"), *([] if limit is None else ["rank"]),
     )

@@ -9,7 +9,7 @@ from corpuscope.functions.scoring import (
     SMELL_HOURS, SMELL_PENALTY, quality_score, severity_weight, tech_debt_hours,
 )
 from corpuscope.functions.text import round_half_up, split_lines, strip
-from corpuscope.skew import spread
+from corpuscope.skew import spread, top_per_key
 
 
 def language_breakdown(files: DataFrame) -> DataFrame:
@@ -53,10 +53,7 @@ def duplication_rate(
     any size is spread over its distinct blocks.
     """
     if limit_files is not None:
-        order = Window.partitionBy("repo").orderBy("file_path")
-        files = files.withColumn("_rn", F.row_number().over(order)).filter(
-            F.col("_rn") <= limit_files
-        )
+        files = top_per_key(files, ["repo"], [F.asc("file_path")], limit_files, "_rn").drop("_rn")
     clean = F.filter(
         F.transform(split_lines(F.col("content")), strip), lambda s: F.length(s) > min_chars
     )

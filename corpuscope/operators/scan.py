@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.scoring import severity_rank
-from corpuscope.functions.text import lstrip, split_lines, strip
+from corpuscope.functions.text import first_chars, lstrip, split_lines, strip
 from corpuscope.operators.rule_packs import Rule, SpanRule
 from corpuscope.skew import spread
 
@@ -42,11 +42,14 @@ def explode_lines(files: DataFrame, min_lines: int = 0) -> DataFrame:
     ).select("repo", "file_path", "language", (F.col("_pos") + 1).alias("line_no"), "line")
 
 
-def redact_snippet(line: Column, redact: bool | Column, length: int = 120) -> Column:
+#: characters of a snippet that the reference shows
+REFERENCE_SNIPPET = 120
+
+
+def redact_snippet(line: Column, redact: bool | Column, length: int | None = None) -> Column:
+    """The stripped line, whole or its first ``length`` characters, or a mark in its place."""
     redact = redact if isinstance(redact, Column) else F.lit(redact)
-    return F.when(redact, F.lit(REDACTED)).otherwise(
-        F.substr(strip(line), F.lit(1), F.lit(length))
-    )
+    return F.when(redact, F.lit(REDACTED)).otherwise(first_chars(strip(line), length))
 
 
 def _finding(rule: Rule, seq: int, line: Column) -> Column:
@@ -228,6 +231,7 @@ def classify_windows(
     size: int = 10,
     step: int = 5,
     floor: float = 0.15,
+    snippet: int | None = None,
 ) -> DataFrame:
     """Categories whose keywords occur in overlapping windows of lines.
 
@@ -271,7 +275,7 @@ def classify_windows(
         .select(
             "repo", "file_path", "line_no", "c.category", "c.severity", "c.seq", "c.hits",
             F.least(F.col("c.hits") * F.lit(2.5) / F.col("c.total"), F.lit(1.0)).alias("confidence"),
-            strip(F.substr(F.col("text"), F.lit(1), F.lit(120))).alias("snippet"),
+            strip(first_chars(F.col("text"), snippet)).alias("snippet"),
         )
         .filter((F.col("hits") > 0) & (F.col("confidence") >= floor))
     )
@@ -313,7 +317,7 @@ LINTER_SCHEMA = (
 )
 
 
-def merge_python_linter(reports: DataFrame, paths: DataFrame) -> DataFrame:
+def merge_python_linter(reports: DataFrame, paths: DataFrame, snippet: int | None = None) -> DataFrame:
     """Findings from a Python linter's JSON reports.
 
     ``reports``: repo, report. ``paths``: repo, path, file_path. Findings of
@@ -331,7 +335,7 @@ def merge_python_linter(reports: DataFrame, paths: DataFrame) -> DataFrame:
         F.initcap(F.replace(F.col("r.test_name"), F.lit("_"), F.lit(" "))).alias("title"),
         severity.alias("severity"), confidence.alias("tool_confidence"),
         F.coalesce("r.issue_text", F.lit("")).alias("description"),
-        F.substr(strip(F.coalesce("r.code", F.lit(""))), F.lit(1), F.lit(120)).alias("snippet"),
+        first_chars(strip(F.coalesce("r.code", F.lit(""))), snippet).alias("snippet"),
         F.when(F.col("r.issue_cwe.id") > 0, F.concat(F.lit("CWE-"), F.col("r.issue_cwe.id")))
         .otherwise("").alias("cwe"),
         F.coalesce("r.more_info", F.lit("")).alias("fix"), "seq",

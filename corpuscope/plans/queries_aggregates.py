@@ -442,21 +442,17 @@ PROSE_MARKERS = [("licence", ("License", "Released")), ("french", ("une ", "dans
 
 @query("g23_detect_test_framework", """
 SELECT source || '-' || lang AS repo, CASE
-  WHEN bool_or(contains(text, 'License') AND n_chars > 2000) AND bool_or(contains(text, 'Released') AND n_chars > 2000)
-    THEN 'licence'
-  WHEN bool_or(contains(text, 'une ') AND n_chars > 2000) AND bool_or(contains(text, 'dans ') AND n_chars > 2000)
-    THEN 'french'
-  WHEN bool_or(contains(text, 'the ') AND n_chars > 2000) THEN 'other'
+  WHEN bool_or(contains(text, 'License')) AND bool_or(contains(text, 'Released')) THEN 'licence'
+  WHEN bool_or(contains(text, 'une ')) AND bool_or(contains(text, 'dans ')) THEN 'french'
+  WHEN bool_or(contains(text, 'the ')) THEN 'other'
   WHEN bool_or(lang = 'es' AND contains(text, 'para')) THEN 'spanish' ELSE 'unknown' END AS framework
 FROM documents GROUP BY 1""")
 def frameworks(spark: SparkSession, sf: str) -> DataFrame:
     files = b.table(spark, sf, "documents").select(
         F.expr("source || '-' || lang").alias("repo"), F.expr("lang || '/' || doc_id").alias("file_path"),
-        F.col("text").alias("content"), "n_chars",
-    )
-    return coverage.detect_test_framework(
-        files.filter("n_chars > 2000"), files, PROSE_MARKERS, [("spanish", "es/", "para")]
+        F.col("text").alias("content"),
     )
+    return coverage.detect_test_framework(files, files, PROSE_MARKERS, [("spanish", "es/", "para")])
 
 
 @query("g24_ml_summary", f"""

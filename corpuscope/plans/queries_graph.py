@@ -86,7 +86,9 @@ SELECT n.repo, substr(n.sha, 1, 8) AS sha, substr(trim(message), 1, 80) AS messa
        coalesce(files_changed, 0) AS files_changed, rank
 FROM newest n LEFT JOIN sizes s ON s.repo = n.repo AND s.sha = n.sha WHERE rank <= 6""")
 def newest_commits(spark: SparkSession, sf: str) -> DataFrame:
-    return provenance.recent_commits(b.order_commits(spark, sf), b.changed_files(spark, sf), 6).select(
+    return provenance.recent_commits(
+        b.order_commits(spark, sf), b.changed_files(spark, sf), 6, provenance.REFERENCE_SHA, provenance.REFERENCE_MESSAGE
+    ).select(
         "repo", "sha", "message", "author_email", "ts", "files_changed", "rank"
     )
 

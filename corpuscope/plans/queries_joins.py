@@ -51,7 +51,9 @@ def blame(spark: SparkSession, sf: str) -> DataFrame:
         "'a' || o_custkey || '@x.org' AS email", "o_orderdate AS ts",
         "'priority ' || o_orderpriority AS summary",
     )
-    return provenance.attach_blame(line_findings(spark, sf), lines).select(
+    return provenance.attach_blame(
+        line_findings(spark, sf), lines, provenance.REFERENCE_SHA, provenance.REFERENCE_SUMMARY
+    ).select(
         "file_path", "line_no", "seq", "l_partkey", "author", "commit", "blame_ts", "summary"
     )
 
@@ -69,7 +71,9 @@ def vulnerable(spark: SparkSession, sf: str) -> DataFrame:
     from corpuscope.sources.manifests import collect_dependencies
 
     deps = collect_dependencies(b.manifest_files(spark, sf))
-    return dependencies.vulnerable_dependencies(deps, b.advisories(spark, sf)).drop("ecosystem")
+    return dependencies.vulnerable_dependencies(
+        deps, b.advisories(spark, sf), dependencies.REFERENCE_SUMMARY
+    ).drop("ecosystem")
 
 
 def _tests_and_sources(spark: SparkSession, sf: str):

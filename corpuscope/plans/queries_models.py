@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import round_half_up
-from corpuscope.operators import models, similarity, structure
+from corpuscope.operators import models, search_index, similarity, structure
 from corpuscope.operators.structure import FEATURES
 from corpuscope.plans import bindings as b
 from corpuscope.plans.queries_aggregates import _half_up
 from corpuscope.plans.queries_rules import words_sql
-from corpuscope.plans.queries_scalars import code_functions
+from corpuscope.plans.queries_scalars import PARAM_LIST, code_functions
 from corpuscope.plans.registry import query
 from corpuscope.session import materialize
 
@@ -94,15 +94,17 @@ STOP_WORDS = ["the", "and", "of", "to", "in", "is", "les", "la", "le", "de", "de
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
-def _search_sql(k: int) -> str:
+def _search_sql(k: int, before: str = "", corpus: str = "documents", queries: str = "benchmark") -> str:
+    """Best k documents per query; a corpus has doc_id and text, queries have item_id and text."""
     index = tfidf_sql("'all'").replace(
         f"{words_sql('lower(text)', 2)} AS w",
         f"list_filter({words_sql('lower(text)', 2)}, lambda t: t NOT IN ({_STOPS})) AS w",
     )
+    index = before + index.replace("FROM documents", f"FROM {corpus}")
     return f"""
 WITH {index},
 qtoks AS (SELECT item_id AS query_id, list_filter({words_sql('lower(text)', 2)},
-            lambda t: t NOT IN ({_STOPS})) AS w FROM benchmark),
+            lambda t: t NOT IN ({_STOPS})) AS w FROM {queries}),
 qgrams AS (SELECT query_id, unnest(w) AS term FROM qtoks
            UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w)),
                             lambda i: w[i] || ' ' || w[i + 1])) FROM qtoks),
@@ -119,9 +121,33 @@ SELECT query_id, id, score, rank FROM ranked WHERE rank <= {k}"""
 @query("m4_nl_search", _search_sql(5))
 def search(spark: SparkSession, sf: str) -> DataFrame:
     terms = similarity.ngrams(F.col("text"), STOP_WORDS)
-    index, idf = similarity.build_index(documents(spark, sf), terms)
+    index = search_index.build(documents(spark, sf), terms)
     queries = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return similarity.search(index, idf, queries, terms)
+    return search_index.search(index, queries, terms)
+
+
+# One question per kind of part: its verb and name.
+QUESTION = {"item_id": "p_type || '/' || p_name", "text": f"{b.VERB} || ' ' || p_name || ' total count'"}
+
+
+@query("m4_function_search", _search_sql(
+    3, f"""{b.FUNCTIONS_SQL},
+corpus AS (SELECT file_path || ':' || lpad(CAST(lineno AS VARCHAR), 7, '0') AS doc_id,
+  concat_ws(' ', replace(name, '_', ' '), CASE WHEN documented THEN 'Handles the part.' END,
+            array_to_string({PARAM_LIST}, ' '), source) AS text FROM functions),
+questions AS (SELECT DISTINCT {", ".join(f"{e} AS {n}" for n, e in QUESTION.items())} FROM part),
+""", "corpus", "questions"))
+def function_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions by the words of their names, docstrings, parameters and source."""
+    _, functions = code_functions(spark, sf)
+    docs = functions.select(
+        F.concat_ws(":", "file_path", F.lpad(F.col("lineno").cast("string"), 7, "0")).alias("id"),
+        search_index.function_text("name", "docstring", F.transform("params", lambda p: p["name"]), "source").alias("text"))
+    terms = similarity.ngrams(F.col("text"), STOP_WORDS)
+    index = search_index.build(materialize(docs, "function-texts"), terms)
+    questions = b.table(spark, sf, "part").select(
+        F.expr(QUESTION["item_id"]).alias("query_id"), F.expr(QUESTION["text"]).alias("text")).distinct()
+    return search_index.search(index, questions, terms, k=3)
 
 
 # --- feature models ------------------------------------------------------------
@@ -236,7 +262,7 @@ scored AS (SELECT *, least(100.0, 70.0 / (1.0 + exp(-({_linear_sql(models.bug_co
 SELECT {", ".join(_LINE_KEYS)}, {_half_up('s', 1)} AS risk_score, {_BAND} AS risk_level,
        {_factor_sql()} AS factors FROM scored WHERE s >= 40""")
 def model_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return models.bug_risk_model(line_features(spark, sf)).select(
+    return models.bug_risk_model(line_features(spark, sf), max_factors=models.REFERENCE_FACTORS).select(
         *_LINE_KEYS, "risk_score", "risk_level", F.array_join("factors", "; ").alias("factors")
     )
 
@@ -264,6 +290,28 @@ def complexity(spark: SparkSession, sf: str) -> DataFrame:
     return models.complexity_model(line_features(spark, sf)).drop("complexity")
 
 
+# Two features, of which SQL can solve the normal equations too.
+FITTED = ["loc_100", "depth"]
+
+
+@query("m8_fitted_complexity", f"""
+WITH {LINE_FEATURES_SQL},
+rows AS (SELECT {", ".join(f"f.{k}" for k in _LINE_KEYS)}, loc_100 AS x1, depth AS x2, CAST(l_extendedprice AS DOUBLE) / 1000 AS y
+         FROM features f JOIN lineitem USING (l_orderkey, l_linenumber)),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2 FROM rows),
+z AS (SELECT (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, y - my AS t FROM rows, m),
+e AS (SELECT sum(z1 * z1) + 1 AS a, sum(z1 * z2) AS b, sum(z2 * z2) + 1 AS d, sum(z1 * t) AS u, sum(z2 * t) AS v FROM z),
+w AS (SELECT (d * u - b * v) / (a * d - b * b) / s1 AS w1, (a * v - b * u) / (a * d - b * b) / s2 AS w2 FROM e, m)
+SELECT {", ".join(_LINE_KEYS)}, {_half_up('my + w1 * (x1 - m1) + w2 * (x2 - m2)', 5)} AS fitted FROM rows, m, w""")
+def fitted_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    """A model of the price of an order line, fitted on all of them."""
+    prices = b.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "CAST(l_extendedprice AS DOUBLE) / 1000 AS price")
+    rows = line_features(spark, sf).join(prices, ["l_orderkey", "l_linenumber"])
+    fitted = models.fit_complexity(rows, "price", FITTED)
+    return rows.select(*_LINE_KEYS, round_half_up(models.linear_score(fitted, FITTED), 5).alias("fitted"))
+
+
 @query("m9_complexity_heuristic", f"""
 WITH {LINE_FEATURES_SQL}, scored AS (SELECT *, {_HEURISTIC} AS s FROM features)
 SELECT {", ".join(_LINE_KEYS)}, {_half_up('s', 1)} AS ml_complexity, 1 AS cyclomatic,

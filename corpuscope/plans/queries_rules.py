@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.operators import quality, scan, structure
+from corpuscope.operators import quality, rule_matcher, scan, structure
 from corpuscope.operators.rule_packs import (
     JAVASCRIPT, PERFORMANCE, PROSE, SECRETS, SECURITY, Rule, SpanRule,
 )
@@ -59,6 +59,12 @@ def line_rules(spark: SparkSession, sf: str) -> DataFrame:
     return scan.scan_files(b.doc_files(spark, sf), _ALL).select(*_COLS)
 
 
+@query("x1_rules_as_data", f"{b.DOC_LINES_SQL}, {rule_hits_sql(_ALL)} SELECT * FROM hits")
+def rules_as_data(spark: SparkSession, sf: str) -> DataFrame:
+    """The same packs as one value."""
+    return rule_matcher.match_files(b.doc_files(spark, sf), _ALL).select(*_COLS)
+
+
 @query("r2_scan_secrets", f"""
 WITH files AS (SELECT source AS repo, lang || '/' || doc_id AS file_path, lang AS language,
   replace(replace(text, 'the ', 'postgres://the:x@'), 'les ', 'sk-lesleslesleslesles12 ') AS content
@@ -289,7 +295,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, file_path, line_no //
                                         ORDER BY line_no) AS rn FROM found WHERE confidence >= 0.15)
 SELECT repo, file_path, line_no, category, severity, confidence, snippet FROM ranked WHERE rn = 1""")
 def windows(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.classify_windows(b.doc_files(spark, sf), PROSE_CATEGORIES).select(
+    return scan.classify_windows(b.doc_files(spark, sf), PROSE_CATEGORIES, snippet=scan.REFERENCE_SNIPPET).select(
         "repo", "file_path", "line_no", "category", "severity", "confidence", "snippet"
     )
 
@@ -319,7 +325,7 @@ def python_linter(spark: SparkSession, sf: str) -> DataFrame:
         "p_brand AS repo", "'/src/f' || p_partkey || '.py' AS path",
         "'f' || p_partkey || '.py' AS file_path",
     )
-    return scan.merge_python_linter(reports, places).select(
+    return scan.merge_python_linter(reports, places, scan.REFERENCE_SNIPPET).select(
         "repo", "file_path", "line_no", "title", "severity", "snippet", "cwe"
     )
 

@@ -9,7 +9,7 @@ from corpuscope.functions import hints, paths, scoring
 from corpuscope.functions.text import normalized_hash
 from corpuscope.operators.dependencies import first_fixed_version, osv_severity, pick_cve
 from corpuscope.operators.hints import generate_docstrings, type_hint_gaps
-from corpuscope.operators.scan import redact_snippet
+from corpuscope.operators.scan import REFERENCE_SNIPPET, redact_snippet
 from corpuscope.plans import bindings as b
 from corpuscope.plans.registry import query
 from corpuscope.session import materialize
@@ -118,13 +118,13 @@ def grades(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p8_risk_level", f"""
 {b.DOC_LINES_SQL}, sized AS (
-  SELECT repo, file_path, max(n_lines) AS n FROM lines GROUP BY ALL)
+  SELECT f.repo, f.file_path, coalesce(max(n_lines), 0) AS n FROM files f LEFT JOIN lines l USING (repo, file_path) GROUP BY ALL)
 SELECT file_path, CASE WHEN n % 40 < 10 AND n > 20 THEN 'HIGH' WHEN n % 40 < 30 AND n > 10
        THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM sized""")
 def risk_levels(spark: SparkSession, sf: str) -> DataFrame:
     from corpuscope.sources.corpus import with_line_count
 
-    files = with_line_count(b.doc_files(spark, sf)).filter("line_count > 0")
+    files = with_line_count(b.doc_files(spark, sf))
     return files.select(
         "file_path",
         scoring.risk_level(F.col("line_count") % 40, F.col("line_count") * 5).alias("risk_level"),
@@ -222,7 +222,7 @@ def code_functions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 _ALL_PARAMS = "[" + ", ".join(f"'{p}'" for p in b.PARAM_NAMES) + "]"
-_PARAM_LIST = (
+PARAM_LIST = (
     f"CASE WHEN name = '__init__' THEN ['value'] WHEN name = 'noop' THEN [] "
     f"ELSE {_ALL_PARAMS}[:n_params] END"
 )
@@ -233,7 +233,7 @@ _RETURN_SENTENCE = "CASE return_type " + " ".join(
 
 @query("p15_generate_docstrings", f"""
 WITH {b.FUNCTIONS_SQL},
-src AS (SELECT *, {RETURN_TYPE_SQL} AS return_type, {_PARAM_LIST} AS params FROM functions
+src AS (SELECT *, {RETURN_TYPE_SQL} AS return_type, {PARAM_LIST} AS params FROM functions
         WHERE NOT documented AND (NOT starts_with(name, '_') OR name = '__init__')),
 {purpose_sql('name', 'src', 'repo, file_path, name, lineno, return_type, params')}
 SELECT repo, file_path, name, lineno, return_type,
@@ -247,13 +247,13 @@ SELECT repo, file_path, name, lineno, return_type,
   || '\"\"\"' AS docstring
 FROM purposes""")
 def docstrings(spark: SparkSession, sf: str) -> DataFrame:
-    return generate_docstrings(code_functions(spark, sf)[1])
+    return generate_docstrings(code_functions(spark, sf)[1], hints.REFERENCE_PARAMS)
 
 
 @query("p16_type_hint_gaps", f"""
 WITH {b.FUNCTIONS_SQL},
 src AS (SELECT *, {RETURN_TYPE_SQL} AS inferred_return,
-               CASE WHEN has_param_ann THEN [] ELSE {_PARAM_LIST} END AS missing
+               CASE WHEN has_param_ann THEN [] ELSE {PARAM_LIST} END AS missing
         FROM functions WHERE name <> '__init__')
 SELECT repo, file_path, name, lineno, array_to_string(missing, ',') AS missing_params,
        inferred_return,
@@ -417,7 +417,7 @@ def roadmaps(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     steps = scoring.roadmap(
         c("critical"), c("vulnerable"), c("coverage"), c("architecture"), c("smells"),
-        c("bug_risks"),
+        c("bug_risks"), scoring.REFERENCE_STEPS,
     )
     return order_reports(spark, sf).select("run_id", F.array_join(steps, "|").alias("roadmap"))
 
@@ -491,7 +491,7 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
     return explode_lines(b.doc_files(spark, sf)).select(
         "repo", "file_path", "line_no",
-        redact_snippet(F.col("line"), F.col("line").contains("@")).alias("snippet"),
+        redact_snippet(F.col("line"), F.col("line").contains("@"), REFERENCE_SNIPPET).alias("snippet"),
     )
 
 

@@ -25,7 +25,7 @@ SELECT repo, file_path, {_LANG_CASE} AS language, size_bytes FROM tree
 WHERE size_bytes > 0 AND size_bytes <= 512000 AND {_EXT} IN ({_EXT_LIST})
   AND NOT list_has_any(string_split(file_path, '/')[:-2], [{_DIR_LIST}])""")
 def read_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.admit_files(b.tree_files(spark, sf)).select(
+    return corpus.admit_files(b.tree_files(spark, sf), max_bytes=corpus.REFERENCE_MAX_BYTES).select(
         "repo", "file_path", detect_language(F.col("file_path")).alias("language"), "size_bytes"
     )
 

@@ -7,16 +7,17 @@ them by name, so no later step repeats a scan or a parse and plans stay small;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import scoring
 from corpuscope.functions.paths import domain_of_path, module_of, repo_name
 from corpuscope.operators import (
-    coverage, dependencies, graph, hints, insights, models, quality, scan, similarity, structure,
+    coverage, dependencies, graph, hints, incremental, insights, models, provenance, quality, scan, similarity, structure,
 )
 from corpuscope.operators.rule_packs import JAVASCRIPT, PERFORMANCE, SECRETS, SECURITY, SPAN
 from corpuscope.session import materialize
+from corpuscope.skew import top_per_key
 from corpuscope.sources import imports as import_source
 from corpuscope.sources import manifests, syntax
 
@@ -62,8 +63,29 @@ def _smells(code: DataFrame, nodes: DataFrame, functions: DataFrame) -> DataFram
     return rows
 
 
-def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All result tables of a corpus. ``files``: repo, file_path, language, content."""
+def clone_pairs(functions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Exact copies of functions, and functions of similar structure, with both names."""
+    tokens = structure.structure_tokens(nodes)
+    docs = materialize(functions.join(tokens, ["repo", "file_path", "fn_id"]).select(
+        "repo", F.concat_ws(":", "file_path", F.lpad(F.col("lineno").cast("string"), 9, "0"), F.col("fn_id").cast("string")).alias("id"),
+        "file_path", "lineno", "name", F.array_join("tokens", " ").alias("text")), "structure")
+    similar = similarity.similar_pairs(docs, similarity.ngrams(F.col("text")))
+    names = docs.select("repo", "id", "name")
+    similar = similar.join(names.withColumnsRenamed({"id": "id_a", "name": "func_a"}), ["repo", "id_a"]).join(
+        names.withColumnsRenamed({"id": "id_b", "name": "func_b"}), ["repo", "id_b"])
+    columns = ["repo", "file_a", "func_a", "line_a", "file_b", "func_b", "line_b", "similarity", "clone_type"]
+    return similarity.exact_clones(functions).select(*columns).unionByName(similar.select(*columns))
+
+
+def analyze(
+    files: DataFrame, advisories: DataFrame | None = None, blame: DataFrame | None = None,
+    commits: DataFrame | None = None, commit_files: DataFrame | None = None, before: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """All result tables of a corpus. ``files``: repo, file_path, language, content.
+
+    ``blame`` adds author statistics of the security findings, ``commits`` with ``commit_files`` change hotspots, and
+    ``before``, the files of the last analysis, the share of files that had to be read again.
+    """
     code = files.filter(~F.col("language").isin(*DATA_LANGUAGES))
     nodes = materialize(syntax.ast_nodes(files, min_lines=3), "ast-nodes")
     functions = syntax.extract_functions(nodes)
@@ -116,14 +138,32 @@ def analyze(files: DataFrame, advisories: DataFrame | None = None) -> dict[str,
         "ml_complexities": models.complexity_model(features),
         "hints": hints.type_hint_gaps(functions),
         "docstrings": hints.generate_docstrings(functions),
-        "clones": similarity.exact_clones(functions),
+        "clones": clone_pairs(functions, nodes),
+        "edges": edges,
         "vulnerability_windows": scan.classify_windows(files),
     }
     if advisories is not None:
         tables["vulnerable"] = dependencies.vulnerable_dependencies(deps, advisories)
+    if blame is not None:
+        tables["authors"] = provenance.author_stats(provenance.attach_blame(tables["security"], blame))
+    if commits is not None and commit_files is not None:
+        tables["hotspots"] = provenance.churn_hotspots(commits, commit_files)
+    if before is not None:
+        changed = incremental.changed_paths(incremental.diff_snapshots(before, files))
+        tables["incremental"] = incremental.incremental_stats(incremental.mark_incremental(files, changed))
     return {name: materialize(table, name) for name, table in tables.items()}
 
 
+def _listed(table: DataFrame, order: list, fields: list[str], name: str, rows: int | None) -> DataFrame:
+    """All rows of a repository, or its first ``rows``, as one ordered array."""
+    if rows is not None:
+        table = top_per_key(table, ["repo"], order, rows, "_place")
+    else:
+        table = table.withColumn("_place", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+    items = F.array_sort(F.collect_list(F.struct("_place", *fields)))
+    return table.groupBy("repo").agg(F.transform(items, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(name))
+
+
 def ranked_insights(t: dict[str, DataFrame]) -> DataFrame:
     """All insights of all detectors."""
     parts = [
@@ -141,18 +181,51 @@ def ranked_insights(t: dict[str, DataFrame]) -> DataFrame:
     return insights.compile_insights(parts)
 
 
+def _more_parts(t: dict[str, DataFrame], rows: int | None) -> list[DataFrame]:
+    """Tables of one row per repository: the module graph, model counts, and lists of clones, hints, authors and changes."""
+    nodes = graph.graph_nodes(t["edges"]).groupBy("repo").agg(
+        F.array_sort(F.collect_list(F.struct("id", "label", "weight"))).alias("nodes"))
+    arcs = graph.graph_edges(t["edges"]).groupBy("repo").agg(
+        F.array_sort(F.collect_list(F.struct("source", "target", "weight"))).alias("edges"))
+    counts = models.ml_summary(
+        clones=t["clones"], bug_risks=t["bug_risks"], missing_hints=t["hints"], docstrings=t["docstrings"],
+        complexities=t["ml_complexities"].withColumn("counted", F.col("deceptive")), windows=t["vulnerability_windows"])
+    kinds = [c for c in counts.columns if c != "repo"]
+    clones = ["file_a", "func_a", "line_a", "file_b", "func_b", "line_b", "similarity", "clone_type"]
+    spots = ["file_path", "lineno", "name"]
+    parts = [
+        nodes.join(arcs, "repo").select("repo", F.struct("nodes", "edges").alias("module_graph")),
+        counts.select("repo", F.struct(*kinds).alias("ml_summary")),
+        _listed(t["clones"], [F.desc("similarity"), *map(F.asc, clones)], clones, "clone_pairs", rows),
+        _listed(t["hints"], [*map(F.asc, spots)], [*spots, "missing_params", "inferred_return", "confidence"],
+                "missing_type_hints", rows),
+    ]
+    if "authors" in t:
+        fields = ["author_key", "name", "total_issues", "high_issues", "files_touched", "weight"]
+        parts.append(_listed(t["authors"], [F.desc("weight"), F.asc("author_key")], fields, "author_stats", rows))
+    if "hotspots" in t:
+        fields = ["file_path", "commit_count", "unique_authors"]
+        parts.append(_listed(t["hotspots"], [F.desc("commit_count"), F.asc("file_path")], fields, "git_hotspots", rows))
+    if "incremental" in t:
+        fields = [c for c in t["incremental"].columns if c != "repo"]
+        parts.append(t["incremental"].select("repo", F.struct(*fields).alias("incremental_stats")))
+    return parts
+
+
 def report(
-    files: DataFrame, tables: dict[str, DataFrame], caps: dict[str, int] = insights.DETECTOR_CAPS,
-    heat_rows: int = 10,
+    files: DataFrame, tables: dict[str, DataFrame], caps: dict[str, int] | None = None,
+    heat_rows: int | None = None, list_rows: int | None = None, analyzed_at: Column | None = None,
 ) -> DataFrame:
     """One row per repository; joins are between tables of one row per repository.
 
-    Counts, summary and roadmap rest on all insights. The lists shown inside the row, insights and
-    heat map, are bounded by ``caps`` and ``heat_rows``; the whole tables are ``ranked_insights`` and ``module_scores``.
+    Counts, summary and roadmap rest on all insights. The lists inside the row, insights and heat map, are whole
+    unless ``caps``, such as ``insights.DETECTOR_CAPS``, and ``heat_rows`` bound them. A repository with very many insights
+    makes a very long row; then give caps, or read the tables ``ranked_insights`` and ``module_scores``. ``list_rows`` does the
+    same for clones, missing hints, authors and change hotspots. A row as JSON is what ``run_from_report`` reads.
     """
     t = tables
     every = materialize(ranked_insights(t), "insights")
-    shown = insights.cap_per_group(every, ["repo"], "detector", caps, insights.leading())
+    shown = every if caps is None else insights.cap_per_group(every, ["repo"], "detector", caps, insights.leading())
     critical = every.groupBy("repo").agg(
         F.count_if(F.col("severity") == "HIGH").alias("critical_issues_count"))
     listed = shown.groupBy("repo").agg(
@@ -185,7 +258,7 @@ def report(
             "repo", F.struct("summary", "modules", "cycles", "violations", "coupling_score",
                              "domain_score", "largest_component").alias("architecture")),
         t["cohesion"], t["coverage_summary"], t["framework"], high, risky, vulnerable, heat, langs,
-        listed,
+        listed, *_more_parts(t, list_rows),
     ):
         out = out.join(part, "repo", "left")
     c = F.col
@@ -195,8 +268,17 @@ def report(
     cards = scoring.metric_cards(
         c("quality_score"), zero("high_total"), scoring.grade(c("maintainability_index")),
         c("tech_debt_hours"))
+    card = lambda kind, names: F.struct(*[c(f"cards.{kind}_{n}").alias(n) for n in names])
+    out = out.withColumn("cards", F.struct(*cards))
     return out.select(
-        "*", repo_name(c("repo")).alias("repo_name"), F.struct(*cards).alias("cards"),
+        "*", repo_name(c("repo")).alias("repo_name"), c("repo").alias("repo_url"),
+        (F.current_timestamp() if analyzed_at is None else analyzed_at).alias("analyzed_at"),
+        c("total_lines").alias("total_lines_of_code"),
+        card("security", ("value", "delta", "status")).alias("security_risks"),
+        card("maintainability", ("value", "status")).alias("maintainability"),
+        card("debt", ("value", "delta", "status")).alias("estimated_tech_debt_hours"),
+        F.struct(c("duplication_rate"), c("doc_coverage").alias("documentation_coverage"),
+                 c("cyclomatic_avg").alias("cyclomatic_complexity")).alias("code_health_trend"),
         scoring.executive_summary(
             c("quality_score"), zero("critical_issues_count"), zero("vulnerable_dependencies"),
             arch, covered, zero("high_bug_risks")).alias("executive_summary"),

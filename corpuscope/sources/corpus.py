@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpuscope.functions.paths import detect_language, in_ignored_dir, is_supported
 from corpuscope.functions.text import split_lines
 
-MAX_FILE_BYTES = 500 * 1024
+#: the largest file that the reference reads
+REFERENCE_MAX_BYTES = 500 * 1024
 
 
 def _fits(size: str, max_bytes: int | None) -> Column:
@@ -18,21 +19,21 @@ def _fits(size: str, max_bytes: int | None) -> Column:
 
 
 def admit_files(
-    files: DataFrame, path: str = "file_path", size: str = "size_bytes", max_bytes: int | None = MAX_FILE_BYTES
+    files: DataFrame, path: str = "file_path", size: str = "size_bytes", max_bytes: int | None = None
 ) -> DataFrame:
-    """Supported extension, no ignored directory, not empty; not oversized unless ``max_bytes`` is None."""
+    """Supported extension, no ignored directory, not empty; with ``max_bytes``, such as ``REFERENCE_MAX_BYTES``, not larger."""
     p = F.col(path)
     return files.filter(_fits(size, max_bytes) & is_supported(p) & ~in_ignored_dir(p))
 
 
 def read_corpus(
     spark: SparkSession, root: str, repo: Column | None = None, commit_sha: str = "",
-    max_bytes: int | None = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """The ``files`` table of a directory tree.
 
-    ``max_bytes=None`` reads every size; a limit is pushed to the file listing, so
-    oversized files are never opened. By default the first directory under ``root`` names the repository.
+    Every size is read unless ``max_bytes`` is given; that limit is pushed to the file listing, so
+    larger files are never opened. By default the first directory under ``root`` names the repository.
     """
     base = root.rstrip("/")
     raw = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.paths import file_name
 from corpuscope.functions.text import split_lines, strip
 from corpuscope.operators.scan import dedup_first
+from corpuscope.skew import top_per_key
 
 # Name and version patterns of the manifest formats.
 REQUIREMENT = r"^([A-Za-z0-9_\-\.]+)\s*(?:[=~><!\^]+\s*([\d\.]+\w*))?"
@@ -130,8 +131,6 @@ def collect_dependencies(files: DataFrame, limit: int | None = None) -> DataFram
         keyed, ["repo", "_key", "ecosystem"], ["source_file", "seq"]
     ).drop("_key")
     if limit is not None:
-        order = Window.partitionBy("repo").orderBy("source_file", "seq", "name")
-        unique = unique.withColumn("_rn", F.row_number().over(order)).filter(
-            F.col("_rn") <= limit
-        ).drop("_rn")
+        order = [F.asc(c) for c in ("source_file", "seq", "name")]
+        unique = top_per_key(unique, ["repo"], order, limit, "_rn").drop("_rn")
     return unique

@@ -28,6 +28,54 @@ def test_cycles_of_any_length_count(spark):
     assert bounded.cycles == 0 and "up to 6 modules" in bounded.summary
 
 
+def brute_cycles(edges):
+    """Simple cycles from their smallest module, by a plain walk."""
+    out = {}
+    for a, z in edges:
+        out.setdefault(a, set()).add(z)
+    found = set()
+
+    def walk(path):
+        for x in out.get(path[-1], ()):
+            if x == path[0]:
+                found.add(" → ".join([*path, x]))
+            elif x > path[0] and x not in path:
+                walk([*path, x])
+
+    for start in out:
+        walk([start])
+    return found
+
+
+def test_cycles_match_brute_force(spark):
+    rng = random.Random(8)
+    graphs = {}
+    for g in range(12):
+        n = rng.randint(2, 8)
+        graphs[f"r{g}"] = {(f"M{rng.randrange(n)}", f"M{rng.randrange(n)}") for _ in range(rng.randint(1, 22))}
+    # two components of which the one with the larger names reaches the other, and a tail on either side
+    graphs["two"] = {("Z", "Y"), ("Y", "Z"), ("Y", "B"), ("B", "A"), ("A", "B"), ("T", "Z"), ("A", "S"), ("S", "R")}
+    df = spark.createDataFrame([(r, *e) for r, edges in graphs.items() for e in edges], "repo string, src string, dst string")
+    want = {(r, c) for r, edges in graphs.items() for c in brute_cycles(edges)}
+    rows = graph.find_cycles(df).collect()
+    assert sorted((r.repo, r.cycle) for r in rows) == sorted(want) and len(want) > 40
+    short = {(r, c) for r, c in want if c.count("→") <= 3}
+    assert {(r.repo, r.cycle) for r in graph.find_cycles(df, max_len=3).collect()} == short < want
+    inner = {(r.repo, r.src, r.dst) for r in graph.component_edges(df).collect()}
+    assert inner == {(r, *e) for r, c in want for e in itertools.pairwise(c.split(" → ")) if e[0] != e[1]}
+
+
+def test_graphs_without_cycles_open_no_path(spark, monkeypatch):
+    layers = [[f"L{i:02d}{c}" for c in "abc"] for i in range(12)]
+    edges = [("r", a, z) for one, two in itertools.pairwise(layers) for a in one for z in two]
+    written = []
+    whole = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: written.append(label) or whole(df, label))
+    df = spark.createDataFrame(edges, "repo string, src string, dst string")
+    assert graph.find_cycles(df).count() == 0
+    assert "trimmed-edges" in written and "open-paths" not in written
+
+
 def test_orphans(spark):
     edges = spark.createDataFrame([("r", "A", "B")], "repo string, src string, dst string")
     modules = spark.createDataFrame([("r", m) for m in "ABC"], "repo string, module string")
@@ -61,7 +109,7 @@ def test_similar_pairs_match_brute_force_over_many_cells(spark):
     df = spark.createDataFrame(
         [("r", i, f"f{i}", 1, t) for i, t in enumerate(texts)],
         "repo string, id long, file_path string, lineno int, text string")
-    rows = similarity.similar_pairs(df, similarity.ngrams(F.col("text")), cell_rows=5).collect()
+    rows = similarity.similar_pairs(df, similarity.ngrams(F.col("text"))).collect()
     got = {(r.id_a, r.id_b): r.similarity for r in rows}
 
     grams = [t.split() + [" ".join(p) for p in itertools.pairwise(t.split())] for t in texts]
@@ -78,6 +126,41 @@ def test_similar_pairs_match_brute_force_over_many_cells(spark):
     assert all(abs(got[k] - want[k]) < 0.00051 for k in want)
 
 
+def test_close_pairs_match_brute_force_at_several_thresholds(spark):
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(40)]
+    base = [rng.choices(vocab, k=rng.randint(1, 30)) for _ in range(25)]
+    texts = [" ".join(rng.choice(vocab) if rng.random() < rng.choice([0, 0.05, 0.2]) else w for w in words)
+             for words in base for _ in range(6)] + ["alone on its own", "", "w1", "w1", "w1 w1"]
+    df = spark.createDataFrame(
+        [("r", i, f"f{i}", 1, t) for i, t in enumerate(texts)], "repo string, id long, file_path string, lineno int, text string")
+    grams = [t.split() + [" ".join(p) for p in itertools.pairwise(t.split())] for t in texts]
+    terms = sorted({g for row in grams for g in row})
+    tf = np.array([[row.count(t) for t in terms] for row in grams], dtype=float)
+    idf = np.log((1 + len(texts)) / (1 + (tf > 0).sum(axis=0))) + 1
+    norm = np.linalg.norm(tf * idf, axis=1, keepdims=True)
+    unit = tf * idf / np.where(norm == 0, 1, norm)
+    cosine = unit @ unit.T
+    keyed = similarity.keyed_counts(df, similarity.ngrams(F.col("text")), ["repo"])
+    first = {}
+    reps = [i for i, row in enumerate(map(tuple, tf)) if first.setdefault(row, i) == i]
+    copies = [(("r", i, sum(tuple(row) == tuple(tf[i]) for row in tf))) for i in reps]
+    table = spark.createDataFrame(copies, "repo string, id long, copies long")
+    for threshold in (0.3, 0.6, 0.9):
+        vectors = similarity.rare_first_vectors(keyed, table, ["repo"], threshold)
+        got = {(r.id_a, r.id_b): r.cosine for r in similarity.close_pairs(vectors, ["repo"], threshold).collect()}
+        want = {(i, j): cosine[i, j] for i, j in itertools.combinations(reps, 2) if cosine[i, j] >= threshold}
+        assert set(got) == set(want) and len(want) > 5
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    few = similarity.rare_first_vectors(keyed, table, ["repo"], 0.6, max_features=25)
+    top = sorted(range(len(terms)), key=lambda t: (-tf[:, t].sum(), terms[t]))[:25]
+    cut = (tf * idf)[:, top]
+    norm = np.linalg.norm(cut, axis=1, keepdims=True)
+    cosine = (cut / np.where(norm == 0, 1, norm)) @ (cut / np.where(norm == 0, 1, norm)).T
+    got = {(r.id_a, r.id_b) for r in similarity.close_pairs(few, ["repo"], 0.6).collect()}
+    assert got == {(i, j) for i, j in itertools.combinations(reps, 2) if cosine[i, j] >= 0.6}
+
+
 def test_similar_pairs_of_near_copies(spark):
     one = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     two, alone = one + " lambda", "other words entirely here"
@@ -155,6 +238,30 @@ def test_model_coefficients_are_optimal():
     assert np.abs(x.T @ rest + w).max() < 1e-8 and abs(rest.sum()) < 1e-8
 
 
+def test_models_fitted_in_spark_equal_closed_forms(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(10_000, 4)) * [1, 5, 0.1, 1] + [0, 3, 9, 0]
+    x[:, 3] = 2.5  # a constant column
+    y = x @ [2.0, -1.0, 30.0, 0.0] + rng.normal(size=10_000)
+    label = (rng.random(10_000) < 1 / (1 + np.exp(-(x[:, 0] - 0.3 * x[:, 1] + 1)))).astype(float)
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(
+        [(*map(float, r), float(t), float(z)) for r, t, z in zip(x, y, label)] + [(None, 1.0, 1.0, 1.0, 1.0, 1.0)],
+        "a double, b double, c double, d double, y double, label double").repartition(7)
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[3] = 1
+    z = (x - mean) / spread
+    w = np.linalg.solve(z.T @ z + np.eye(4), z.T @ (y - y.mean()))
+    weights, bias = models.fit_complexity(df, "y", names)
+    assert np.allclose(weights, w / spread, atol=1e-6) and abs(bias - (y.mean() - (w / spread) @ mean)) < 1e-6
+    weights, bias = models.fit_bug_risk(df, "label", names)
+    p = 1 / (1 + np.exp(-(x @ weights + bias)))
+    own = np.array(weights) * spread
+    assert np.abs(z.T @ (p - label) + own).max() < 1e-5 and abs((p - label).sum()) < 1e-5
+    with np.testing.assert_raises(ValueError):
+        models.fit_complexity(df.filter("a > 1e9"), "y", names)
+
+
 def test_top_per_key_beyond_the_group_limit(spark):
     df = spark.range(6000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
     top = top_per_key(df, ["k"], [F.desc("v")], 1500)

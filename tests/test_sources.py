@@ -1,4 +1,5 @@
 import ast
+import random
 
 from pyspark.sql import functions as F
 
@@ -15,9 +16,10 @@ def test_read_corpus(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
-    rows = {(r.repo, r.file_path): r for r in corpus.read_corpus(spark, str(tmp_path)).collect()}
+    rows = {(r.repo, r.file_path): r for r in corpus.read_corpus(
+        spark, str(tmp_path), max_bytes=corpus.REFERENCE_MAX_BYTES).collect()}
     assert set(rows) == {("one", "a.py"), ("two", "deep/d.TS"), ("two", "latin.md")}
-    every = corpus.read_corpus(spark, str(tmp_path), max_bytes=None)
+    every = corpus.read_corpus(spark, str(tmp_path))
     assert {(r.repo, r.file_path) for r in every.collect()} == {*rows, ("two", "big.py")}
     assert rows["one", "a.py"].line_count == 2 and rows["one", "a.py"].language == "Python"
     assert rows["two", "deep/d.TS"].content == rows["two", "latin.md"].content == "é"
@@ -111,6 +113,23 @@ def test_vulnerable_versions(spark):
         ("1.0", "2.0", "MEDIUM", "CVE-1"), ("1.10", "2.0", "MEDIUM", "CVE-1")}
 
 
+def test_versions_in_ranges_match_every_pair(spark):
+    rng = random.Random(3)
+    version = lambda: ".".join(str(rng.randrange(4)) for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "-rc1", ".post1"])
+    event = lambda: (rng.choice([None, "0", version()]), rng.choice([None, version()]))
+    versions = [(rng.choice("pq"), rng.choice([None, version(), version()])) for _ in range(120)]
+    advisories = [
+        (rng.choice("pqr"), f"A{i}", [([([event() for _ in range(rng.randint(0, 4))],) for _ in range(rng.randint(1, 2))],)
+                                     for _ in range(rng.randint(0, 2))]) for i in range(60)]
+    v = spark.createDataFrame(versions, "package string, version string")
+    a = spark.createDataFrame(
+        advisories, "package string, id string, affected array<struct<ranges:array<struct<events:array<struct<introduced:string,fixed:string>>>>>>")
+    got = sorted(map(tuple, dependencies.versions_in_ranges(v, a, ["package"]).collect()))
+    want = v.distinct().join(a, "package").filter(dependencies.in_ranges(F.col("version"), F.col("affected"))).select(
+        "package", "version", "id")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 500
+
+
 def test_versions_are_ordered(spark):
     rising = ["0.9", "1.0.dev1", "1.0a1", "1.0-beta.2", "1.0-rc1", "1.0-rc1.1", "1.0-rc2", "v1.0.0+build", "1.0.post1",
               "1.0.0.0.0.0.7", "1.0.0.1", "1.2", "1.10", "2"]

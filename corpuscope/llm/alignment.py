@@ -6,9 +6,9 @@ of equal work, wherever documents begin: a long document is shared by several pi
 overlaps: between two neighbouring ends lies one pair of tokens. An end that both lists have closes a group; where the
 two equal ends fall into different pieces, or a group runs over pieces, the pieces are stitched.
 
-A first pass encodes documents, merges them in pieces and writes one row per document (counts and digest of its groups) and one
-row per piece (ids, and the documents' ends). Pieces then send their distinct id pairs with counts, Spark sums them and finds each B
-id's highest count, and the pieces get back what they asked for. A piece merges its ids once more and sums per document.
+A pass over the documents encodes and merges them and writes one row per document (counts and digest of its groups) and one
+row per run of pieces: its distinct id pairs, how many links hold each, and for each of its documents how often which of them. Spark sums
+the pairs and finds each B id's highest count, the runs get back what they asked for, and sum it per document.
 
 Encoding cuts a text at spaces between two characters that are no white space, which no token of either tokenizer crosses, and keeps the
 ids of the stretches it has seen, up to a bound. Tokenizers for which that does not hold encode whole texts.
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from corpuscope.llm.tables import materialize
 from corpuscope.llm.text import pieces, utf8
 
-#: steps of one piece, and of the smaller ones in which a worker merges
-STEPS, INNER = 1 << 21, 1 << 15
-#: bytes of text encoded together before they are cut into pieces
-CHUNK = 4 << 20
-MEMO = 400_000
+#: steps of one piece, and links of one written run of pieces
+STEPS, LINKS = 1 << 15, 1 << 21
+#: bytes of text encoded together
+CHUNK = 2 << 20
+MEMO = 250_000
 #: stretches encoded side by side in one call
 JOINED = 512
 #: first bytes of characters beyond ASCII that may be white space
@@ -72,6 +72,7 @@ class Pair:
         pieces_b = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces_b)]
+        self.sizes = [np.array([len(t) for t in names], np.int64) for names in (self.a_bytes, self.b_bytes)]
         # no A token spans a space after another character, and no B piece has one inside
         before = json.loads(self.a.to_str()).get("pre_tokenizer") or {}
         self.cuts = (
@@ -109,20 +110,22 @@ class Pair:
         cut[starts] = True
         return np.flatnonzero(cut)
 
-    def found(self, raw: list[bytes]) -> list[tuple[list[int], list[int], bool]]:
+    def found(self, raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
         """A ids and B ids of texts that begin with a space, and whether both join to the text."""
         texts = [r.decode() for r in raw]
         found_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         found_b = self.b.encode([t[1:] for t in texts], num_threads=1)
         return [
-            (a, b, b"".join(map(self.a_bytes.__getitem__, a)) == r and b"".join(map(self.b_bytes.__getitem__, b)) == r)
+            (np.array(a, np.int32), np.array(b, np.int32),
+             b"".join(map(self.a_bytes.__getitem__, a)) == r and b"".join(map(self.b_bytes.__getitem__, b)) == r)
             for r, a, b in zip(raw, found_a, found_b)]
 
-    def keep(self, raw: bytes, a: list[int], b: list[int], good: bool) -> None:
-        self.memo[raw] = len(self.good)
-        self.good.append(good)
-        self.stored[0].add(a)
-        self.stored[1].add(b)
+    def keep(self, raw: list[bytes], ids: tuple[np.ndarray, np.ndarray], ends: tuple[np.ndarray, np.ndarray], good: bool) -> None:
+        """Remember stretches: the ids of all of them, and behind which of these each one ends."""
+        self.memo.update(zip(raw, range(len(self.good), len(self.good) + len(raw))))
+        self.good.extend([good] * len(raw))
+        for stored, x, end in zip(self.stored, ids, ends):
+            stored.add(x, end)
 
     def learn(self, new: list[bytes]) -> None:
         """Encode stretches, each beginning with a space: those that may stand side by side in one text, the others alone."""
@@ -131,20 +134,17 @@ class Pair:
         cut = np.isin(start, self.stretches(np.frombuffer(b"".join(new), np.uint8), start[:1]))
         fits = (cut & np.append(cut[1:], True) & self.cuts).tolist()
         side, alone = [s for s, ok in zip(new, fits) if ok], [s for s, ok in zip(new, fits) if not ok]
-        for i in range(0, len(side), JOINED):
-            part = side[i : i + JOINED]
+        parts = [side[i : i + JOINED] for i in range(0, len(side), JOINED)]
+        for part, (a, b, good) in zip(parts, self.found([b"".join(part) for part in parts])):
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-            (a, b, good), = self.found([b"".join(part)])
-            at_a, at_b = (np.cumsum([len(names[x]) for x in ids]) for names, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-            if not good or not np.isin(ends, at_a).all() or not np.isin(ends, at_b).all():
+            at = [np.cumsum(sizes[ids]) for sizes, ids in zip(self.sizes, (a, b))]
+            places = [np.searchsorted(x, ends) for x in at]
+            if good and all((x[p] == ends).all() for x, p in zip(at, places)):
+                self.keep(part, (a, b), tuple(p + 1 for p in places), True)
+            else:
                 alone += part
-                continue
-            m = n = 0
-            for raw, i_a, i_b in zip(part, np.searchsorted(at_a, ends).tolist(), np.searchsorted(at_b, ends).tolist()):
-                self.keep(raw, a[m : i_a + 1], b[n : i_b + 1], True)
-                m, n = i_a + 1, i_b + 1
         for raw, (a, b, good) in zip(alone, self.found(alone)):
-            self.keep(raw, a, b, good)
+            self.keep([raw], (a, b), (np.array([len(a)]), np.array([len(b)])), good)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """A ids and B ids of non-empty texts that begin with a space, the tokens of each text, and which texts are whole."""
@@ -164,23 +164,22 @@ class Pair:
 
 
 class Ragged:
-    """Lists of small numbers, appended one by one and taken many at a time."""
+    """Lists of small numbers, appended many at a time and taken by their places."""
 
     def __init__(self):
-        self.flat, self.ends, self.fixed = [], [0], (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        self.flat, self.ends, self.total = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
 
-    def add(self, values: list[int]) -> None:
-        self.flat += values
-        self.ends.append(self.ends[-1] + len(values))
+    def add(self, values: np.ndarray, ends: np.ndarray) -> None:
+        """Lists one behind the other, and where each ends in ``values``."""
+        self.flat.append(values)
+        self.ends.append(ends + self.total)
+        self.total += len(values)
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat, ends = self.fixed
-        if len(ends) < len(self.ends):
-            flat = np.concatenate([flat, np.array(self.flat, np.int32)])
-            ends = np.array(self.ends, np.int64)
-            self.flat, self.fixed = [], (flat, ends)
+        flat, ends = np.concatenate(self.flat), np.concatenate(self.ends)
+        self.flat, self.ends = [flat], [ends]
         size = ends[at + 1] - ends[at]
-        shift = np.repeat(ends[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        shift = np.repeat(ends[at] - (np.cumsum(size) - size), size)
         return flat[shift + np.arange(len(shift))], size
 
 
@@ -218,7 +217,7 @@ def overlaps(a: np.ndarray, b: np.ndarray, last_a: int) -> tuple[np.ndarray, ...
             ends[order], np.concatenate([also, np.zeros(own.sum(), bool)])[order])
 
 
-def merged(a: np.ndarray, b: np.ndarray, before_a: int = 0, each: int = INNER) -> tuple[np.ndarray, ...]:
+def merged(a: np.ndarray, b: np.ndarray, before_a: int = 0, each: int = STEPS) -> tuple[np.ndarray, ...]:
     """All overlaps of two lists of ends, piece by piece and stitched: A token, B token, end, whether both end there."""
     at_a, at_b = diagonals(a, b, each)
     found = []
@@ -276,27 +275,45 @@ def unsqueeze(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(row.column(i)[0].as_py(), kind) for i, kind in enumerate(kinds)]
 
 
-#: a piece: A ids, B ids, places of its first A and B token, ends of its documents, their rows
-PIECE = ("<u4", "<u4", "<i8", "<i8", "<i8")
+ENCODED = (
+    "id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, row long, "
+    "piece long, pairs binary, blob binary")
 
 
-def piece_links(pair: Pair, blob: bytes, n_steps: tuple[int, int]) -> tuple[np.ndarray, ...]:
-    """A ids, B ids and document rows of a piece's links; n_steps are the A and B ends inside it."""
-    a, b, (start_a, start_b), ends, rows = unsqueeze(blob, *PIECE)
-    size_a, size_b = (np.array([len(t) for t in names], np.int64) for names in (pair.a_bytes, pair.b_bytes))
-    x, y, end, _ = merged(start_a + np.cumsum(size_a[a])[: n_steps[0]], start_b + np.cumsum(size_b[b])[: n_steps[1]], int(start_a))
-    return a[x], b[y], rows[np.searchsorted(ends, end)]
+def histograms(codes: np.ndarray, docs: np.ndarray) -> tuple[bytes, bytes]:
+    """A run's distinct pairs with their links; and per document the places of its pairs in that list, and its links of each."""
+    pairs, place, links = np.unique(codes, return_inverse=True, return_counts=True)
+    rows, which = np.unique(docs, return_inverse=True)
+    met, count = np.unique(which * len(pairs) + place, return_counts=True)
+    which, place = met // len(pairs), met % len(pairs)
+    size = np.bincount(which, minlength=len(rows))
+    steps = np.diff(place, prepend=0)
+    first = np.cumsum(size) - size
+    steps[first] = place[first]
+    planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy() for x in (steps, count)]
+    return (squeeze(np.diff(pairs, prepend=0).astype("<i8"), links.astype("<i8")),
+            squeeze(rows.astype("<i8"), size.astype("<i8"), *planes))
 
 
-ENCODED = (
-    "id {}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, row long, "
-    "piece long, ends_a long, ends_b long, blob binary")
+def read_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, links = unsqueeze(blob, "<i8", "<i8")
+    return np.cumsum(steps), links
+
+
+def read_histograms(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Documents' rows, how many pairs each has, their places and counts."""
+    rows, size, *planes = unsqueeze(blob, "<i8", "<i8", "u1", "u1")
+    steps, count = (np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for x in planes)
+    total = np.cumsum(steps)
+    first = np.cumsum(size) - size
+    before = total[first] - steps[first]
+    return rows, size, total - np.repeat(before, size), count
 
 
-def encoded(source: DataFrame, a_path: str, b_path: str, steps: int, chunk: int) -> DataFrame:
-    """Rows of documents and rows of pieces (with a piece number); source has row, id, text."""
+def encoded(source: DataFrame, a_path: str, b_path: str, steps: int, links: int, chunk: int) -> DataFrame:
+    """Rows of documents and rows of runs of pieces (with a number); source has row, id, text."""
 
-    def document_rows(pair, ids, numbers, data, offsets) -> tuple[list, list]:
+    def document_rows(pair, numbers, data, offsets) -> tuple[list, list]:
         n = len(offsets) - 1
         rows = {i: [0, 0, 0, 0, ""] for i in range(n)}
         full = np.flatnonzero(np.diff(offsets) > 0)
@@ -313,9 +330,9 @@ def encoded(source: DataFrame, a_path: str, b_path: str, steps: int, chunk: int)
         full, size, n_a, n_b = full[whole], size[whole], n_a[whole], n_b[whole]
         if not len(full):
             return list(rows.values()), []
-        size_a, size_b = (np.array([len(t) for t in names], np.int64) for names in (pair.a_bytes, pair.b_bytes))
+        size_a, size_b = pair.sizes
         end_a, end_b, stop = np.cumsum(size_a[a]), np.cumsum(size_b[b]), np.cumsum(size)
-        _, _, end, both = merged(end_a, end_b)
+        x, y, end, both = merged(end_a, end_b, 0, steps)
         closed = end[both]
         text, text_ends = group_texts(
             a, b, np.searchsorted(closed, end_a), np.searchsorted(closed, end_b), max(len(pair.a_bytes), len(pair.b_bytes)))
@@ -326,15 +343,9 @@ def encoded(source: DataFrame, a_path: str, b_path: str, steps: int, chunk: int)
             rows[doc] = [int(n_a[k]), int(n_b[k]), int(groups_to[k] - (groups_to[k - 1] if k else 0)),
                          int(links_to[k] - (links_to[k - 1] if k else 0)), hashlib.sha256(text[begin : till - 1]).hexdigest()]
             begin = till
-        found, own = [], numbers[full]
-        at_a, at_b = diagonals(end_a, end_b, steps)
-        for i, j, m, n in zip(at_a[:-1].tolist(), at_b[:-1].tolist(), at_a[1:].tolist(), at_b[1:].tolist()):
-            start = np.array([end_a[i - 1] if i else 0, end_b[j - 1] if j else 0])
-            first = np.searchsorted(stop, start.min(), "right")
-            last = np.searchsorted(stop, max(end_a[m - 1] if m else 0, end_b[n - 1] if n else 0)) + 1
-            found.append((m - i, n - j, squeeze(
-                a[i : m + 1].astype("<u4"), b[j : n + 1].astype("<u4"), start.astype("<i8"), stop[first:last].astype("<i8"),
-                own[first:last].astype("<i8"))))
+        codes, docs = a[x].astype(np.int64) << 32 | b[y], numbers[full][np.searchsorted(stop, end)]
+        cuts = np.linspace(0, len(codes), max(1, -(-len(codes) // links)) + 1).astype(np.int64)
+        found = [histograms(codes[i:j], docs[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
         return list(rows.values()), found
 
     kind = source.schema["id"].dataType.simpleString()
@@ -345,8 +356,8 @@ def encoded(source: DataFrame, a_path: str, b_path: str, steps: int, chunk: int)
             data, offsets = utf8(batch.column(2))
             for i, j in pieces(offsets, chunk):
                 rows, found = document_rows(
-                    pair, batch.column(1).slice(i, j - i), batch.column(0).slice(i, j - i).to_numpy(),
-                    data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    pair, batch.column(0).slice(i, j - i).to_numpy(), data[offsets[i] : offsets[j]],
+                    offsets[i : j + 1] - offsets[i])
                 n = len(found)
                 columns = [[*column, *[None] * n] for column in zip(*rows)]
                 number = [(TaskContext.get().partitionId() << 32) + made + p for p in range(n)]
@@ -356,35 +367,32 @@ def encoded(source: DataFrame, a_path: str, b_path: str, steps: int, chunk: int)
                 yield pa.RecordBatch.from_arrays([
                     ids, *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()),
                     pa.array([*batch.column(0).slice(i, j - i).to_pylist(), *[None] * n], pa.int64()),
-                    pa.array(blank + number, pa.int64()), pa.array(blank + [f[0] for f in found], pa.int64()),
-                    pa.array(blank + [f[1] for f in found], pa.int64()), pa.array(blank + [f[2] for f in found], pa.binary()),
-                ], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "row", "piece", "ends_a", "ends_b", "blob"])
+                    pa.array(blank + number, pa.int64()), pa.array(blank + [f[0] for f in found], pa.binary()),
+                    pa.array(blank + [f[1] for f in found], pa.binary()),
+                ], ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "row", "piece", "pairs", "blob"])
 
     return source.mapInArrow(run, ENCODED.format(kind))
 
 
 def tokenizer_alignment(
     docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS,
-    chunk: int = CHUNK,
+    links: int = LINKS, chunk: int = CHUNK,
 ) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``a_path`` is a byte-level tokenizers file, ``b_path`` a sentencepiece model that adds a space.
     """
     source = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    known = materialize(encoded(source, a_path, b_path, steps, chunk), "encoded")
-    parts = known.filter("piece IS NOT NULL").select("piece", "ends_a", "ends_b", "blob")
+    known = materialize(encoded(source, a_path, b_path, steps, links, chunk), "encoded")
+    parts = known.filter("piece IS NOT NULL")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair.of(a_path, b_path)
         for batch in batches:
-            for piece, m, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b, _ = piece_links(pair, blob, (m, n))
-                codes, count = np.unique(a.astype(np.int64) << 32 | b, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), piece)), pa.array(codes), pa.array(count.astype(np.int64))], ["piece", "pair", "n"])
+            for piece, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pairs, n = read_pairs(blob.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), piece)), pa.array(pairs), pa.array(n)], ["piece", "pair", "n"])
 
-    wants = materialize(parts.mapInArrow(asked, "piece long, pair long, n long"), "piece-pairs")
+    wants = materialize(parts.select("piece", "pairs").mapInArrow(asked, "piece long, pair long, n long"), "piece-pairs")
     pairs = wants.groupBy("pair").agg(F.sum("n").alias("count"))
     best = pairs.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")).agg(F.max("count").alias("most"))
     rated = materialize(
@@ -392,21 +400,17 @@ def tokenizer_alignment(
         .select("pair", "count", (F.col("count") == F.col("most")).alias("is_best")), "pair-counts")
     answers = wants.select("piece", "pair").join(rated, "pair")
 
-    def rate(rows: pa.Table, given: pa.Table) -> pa.Table:
-        pair = Pair.of(a_path, b_path)
+    def rate(run: pa.Table, given: pa.Table) -> pa.Table:
         code, count, best = (given.column(c).to_numpy() for c in ("pair", "count", "is_best"))
-        order = np.argsort(code)
-        code, count, best = code[order], count[order], best[order]
-        a, b, doc = piece_links(pair, rows.column("blob")[0].as_py(), (rows.column("ends_a")[0].as_py(), rows.column("ends_b")[0].as_py()))
-        at = np.searchsorted(code, a.astype(np.int64) << 32 | b)
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        if not len(first):
-            return pa.table({"row": pa.array([], pa.int64()), "n_best": pa.array([], pa.int64()), "count_sum": pa.array([], pa.int64())})
-        return pa.table({"row": doc[first], "n_best": np.add.reduceat(best[at].astype(np.int64), first),
-                         "count_sum": np.add.reduceat(count[at].astype(np.int64), first)})
+        order = np.argsort(code)  # as the run's list of pairs is
+        count, best = count[order], best[order].astype(np.int64)
+        rows, size, place, links = read_histograms(run.column("blob")[0].as_py())
+        first = np.cumsum(size) - size
+        return pa.table({"row": rows, "n_best": np.add.reduceat(best[place] * links, first),
+                         "count_sum": np.add.reduceat(count[place] * links, first)})
 
     sums = (
-        parts.groupBy("piece").cogroup(answers.groupBy("piece"))
+        parts.select("piece", "blob").groupBy("piece").cogroup(answers.groupBy("piece"))
         .applyInArrow(rate, "row long, n_best long, count_sum long")
         .groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum")))
     return known.filter("piece IS NULL").join(sums, "row", "left").select(

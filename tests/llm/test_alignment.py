@@ -62,13 +62,13 @@ def test_pieces_equal_a_plain_merge():
             assert work.max() <= each and work.max() - work.min() <= 1
 
 
-@pytest.mark.parametrize("steps, chunk", [(7, 64), (1000, 300), (alignment.STEPS, alignment.CHUNK)])
-def test_alignment(spark, steps, chunk):
+@pytest.mark.parametrize("steps, links, chunk", [(7, 5, 64), (1000, 90, 300), (alignment.STEPS, alignment.LINKS, alignment.CHUNK)])
+def test_alignment(spark, steps, links, chunk):
     rng = random.Random(steps)
     rows = [(rng.choice([None, *range(200)]), "".join(rng.choices(PARTS, k=rng.randrange(1, 30)))) for _ in range(150)]
     rows += rows[:9] + [(1, None), (2, ""), (3, " "), (4, "the thing " * 4000), (5, "ab" * 9000)]
     df = spark.createDataFrame([(*r, 1, "x", 2, "y", "z") for r in rows], SCHEMA).repartition(3)
-    got = alignment.tokenizer_alignment(df, A, B, steps=steps, chunk=chunk)
+    got = alignment.tokenizer_alignment(df, A, B, steps=steps, links=links, chunk=chunk)
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 

@@ -1,14 +1,16 @@
 """Near-duplicate detection by an inverted join of MinHash signature coordinates.
 
 A document is the set of its distinct word shingles; documents with the same set are one class and go on
-as one row. A class has ``COORDINATES`` minima and is posted under each (coordinate, value) pair. Two sets of Jaccard
+as one row. A class has ``COORDINATES`` minima. Two sets of Jaccard
 similarity s agree in each coordinate with probability s; pairs with at least ``MATCHES`` agreements are candidates.
-Prefix: by rising frequency of the pairs, two classes with that many agreements share one of their
-COORDINATES - MATCHES + 1 rarest, so only those are posted. Skip: the frequent rest is never merged; agreements in it
+The coordinates stand in MATCHES - 1 groups, so two classes with that many agreements have two of them in one group: a class is
+posted under every two (coordinate, value) pairs of a group. Lists of single pairs would hold texts that share no more than a common
+shingle, and grow with the square of the corpus. Prefix: nothing but these meetings is merged. Skip: all other agreements
 are counted on the two signatures. At 0.8, fewer than 12 of 32 coordinates agree with probability 2e-8.
 
-Candidates are confirmed on full sets. A list of up to SMALL classes is taken whole. A longer one is not
-turned into all its pairs: first the class that most long lists hold meets the others, then one drawn per list; afterwards the lists that still
+Shingles are compared by 48-bit hashes, which may add a shingle to an intersection but take none away. Candidates are
+confirmed on full sets. A list of up to SMALL classes is taken whole. A longer one is not
+turned into all its pairs: first the class that most long lists hold meets the others; afterwards the lists that still
 hold several components are compared block by block in numpy, and only links become rows, so nothing that could
 join two components is left out.
 Components are found by alternating large-star and small-star steps on written tables.
@@ -31,13 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from corpuscope.llm.tables import materialize
+from corpuscope.llm.tables import fresh_names, materialize, replaced
 from corpuscope.llm.text import LOWER, NOT_SPACE, Words, mix, pack, pieces, unpack, utf8, windows
 
 U64 = np.uint64
 COORDINATES = 32
 MATCHES = 12
-PREFIX = COORDINATES - MATCHES + 1
+#: the coordinates that are posted together: every two of each of MATCHES - 1 groups
+MEETINGS = [
+    (i, j) for g in range(MATCHES - 1) for i in range(g, COORDINATES, MATCHES - 1) for j in range(i + MATCHES - 1, COORDINATES, MATCHES - 1)]
+#: bits of a list's number that hold the hash of the two values; the meeting stands above them
+HASH_BITS = 57
 MISSED = 1e-6  # the largest probability with which a link may be missed
 SMALL = 8
 #: what one task compares: two blocks of at most so many classes, of about so many bytes of sets, by so many shingles at once
@@ -96,17 +102,14 @@ def signatures(source: DataFrame, k: int) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(pair, class) for each class's rarest coordinate-value pairs that another class has too."""
-    posted = classes.select("class", F.posexplode("signature")).select(
-        "class", (F.shiftleft(F.col("pos").cast("long"), 32) + (F.col("col").cast("long") + 2**31)).alias("pair"))
+    """(pair, class) for the two coordinates of each meeting whose values another class has too."""
+    lists = F.array(*[
+        F.shiftleft(F.lit(m).cast("long"), HASH_BITS).bitwiseOR(
+            F.shiftrightunsigned(F.xxhash64(F.col("signature")[i], F.col("signature")[j], F.lit(m)), 64 - HASH_BITS))
+        for m, (i, j) in enumerate(MEETINGS)])
+    posted = classes.select("class", F.explode(lists).alias("pair"))
     shared = posted.groupBy("pair").count().filter("count > 1")
-    # pairs that one class alone has are the rarest and come first in a prefix, but post nothing
-    own = (
-        posted.join(shared, "pair").groupBy("class")
-        .agg(F.array_sort(F.collect_list(F.struct("count", "pair"))).alias("pairs"))  # at most COORDINATES
-    )
-    rarest = F.slice("pairs", 1, F.greatest(F.lit(0), F.size("pairs") - (COORDINATES - PREFIX)))
-    return own.select("class", F.explode(F.transform(rarest, lambda p: p["pair"])).alias("pair"))
+    return posted.join(shared.select("pair"), "pair", "left_semi").select("class", "pair")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -183,10 +186,10 @@ def across(state: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
     """Links between classes of different components that share an open list; state has pair, class, root.
 
     A list is cut into blocks of bounded rows and bytes. One task compares two blocks, with signatures and sets at
-    hand, and returns links only, so that pairs are never rows. A pair that shares several lists is compared in the
-    one of the lowest coordinate.
+    hand, and returns a spanning forest of the links only, so that pairs are never rows. A pair that shares several lists is
+    compared in the one of the lowest meeting.
     """
-    bit = F.expr("bit_or(shiftleft(1L, CAST(shiftright(pair, 32) AS INT)))")
+    bit = F.expr(f"bit_or(shiftleft(1L, CAST(shiftright(pair, {HASH_BITS}) AS INT)))")
     members = (
         state.groupBy("class").agg(bit.alias("mask"))
         .join(classes.select("class", "signature"), "class").join(sets, "class"))
@@ -202,7 +205,7 @@ def across(state: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
         .join(members, "class"))
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        coordinate, cell_a, cell_b = key[0].as_py() >> 32, key[1].as_py(), key[2].as_py()
+        meeting, cell_a, cell_b = key[0].as_py() >> HASH_BITS, key[1].as_py(), key[2].as_py()
         ids, roots, masks, own = (rows.column(c).to_numpy() for c in ("class", "root", "mask", "own"))
         signs = pc.list_flatten(rows.column("signature")).to_numpy().reshape(-1, COORDINATES)
         size = pc.binary_length(rows.column("set")).to_numpy().astype(np.int64) // 8
@@ -213,42 +216,63 @@ def across(state: DataFrame, classes: DataFrame, sets: DataFrame, percent: int,
             wanted = np.triu(wanted, 1)
         agree = np.zeros(wanted.shape, np.uint8)
         for j in range(COORDINATES):
-            same = signs[x, j][:, None] == signs[y, j]
-            agree += same
-            if j < coordinate:
-                posted = (masks >> j) & 1 > 0
-                wanted &= ~(same & posted[x][:, None] & posted[y])
+            agree += signs[x, j][:, None] == signs[y, j]
         wanted &= agree >= MATCHES
+        for m, (i, j) in enumerate(MEETINGS[:meeting]):
+            posted = (masks >> m) & 1 > 0
+            same = (signs[x, i][:, None] == signs[y, i]) & (signs[x, j][:, None] == signs[y, j])
+            wanted &= ~(same & posted[x][:, None] & posted[y])
         i, j = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
         x, y, wanted = x[i], y[j], wanted[np.ix_(i, j)]
         if wanted.size:
             packed = rows.column("set")
             both = shared_counts([unpack(packed[int(n)].as_py()) for n in x], [unpack(packed[int(n)].as_py()) for n in y])
             wanted &= 100 * both >= percent * (size[x][:, None] + size[y] - both)
-        i, j = np.nonzero(wanted)
+        i, j = spanning(*np.nonzero(wanted), len(x), 0 if cell_a == cell_b else len(x))
         a, b = ids[x[i]], ids[y[j]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return cells.groupBy("pair", "cell_a", "cell_b").applyInArrow(compare, "a long, b long")
 
 
+def spanning(i: np.ndarray, j: np.ndarray, rows: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (i, j) that join what no link before them has joined; ``shift`` sets columns apart from rows."""
+    parent: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        root = k
+        while parent.get(root, root) != root:
+            root = parent[root]
+        while parent.get(k, k) != root:
+            parent[k], k = root, parent[k]
+        return root
+
+    keep = []
+    for n, (a, b) in enumerate(zip(i.tolist(), (j + shift).tolist())):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[a] = b
+            keep.append(n)
+    return i[keep], j[keep]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(class, root): the smallest class reachable, for every class of an edge."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    before = None
+    """(class, root): the smallest class reachable, for every class of an edge. A round's table goes when the next is written."""
+    edges, last = replaced(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     while True:
+        # stars: nobody stands on both sides, and everybody has one centre
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+            edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").isEmpty():
+            return edges.select(F.col("u").alias("class"), F.col("v").alias("root"))
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = materialize(
+        edges, last = replaced(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-            .filter("u > v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("class"), F.col("v").alias("root"))
-        before = now
+            .filter("u > v").distinct(), "links", last)
 
 
 def missed(percent: int) -> float:
@@ -291,7 +315,7 @@ def near_groups(
     large = materialize(large.join(degrees, "class"), "long-lists")
     central = F.min_by("class", F.struct(-F.col("degree"), "class"))
     roots = components(links)
-    for leader in (central, F.min_by("class", F.xxhash64("pair", "class")), None):
+    for leader in (central, None):
         state = large.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         several = state.groupBy("pair").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y")
         state = materialize(state.join(several.select("pair"), "pair", "left_semi"), "open-lists")
@@ -319,20 +343,20 @@ def near_groups(
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but the first of each component; columns as given."""
+    """The documents without all but the first of each component; columns as given, whatever their names."""
+    own_id, own_key, own_kept, wanted = fresh_names(docs, 4)
     kept = near_groups(docs, k, percent, id_col, text_col).filter("kept AND key IS NOT NULL").select(
-        F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct()
+        F.col(id_col).alias(own_id), F.col("key").alias(wanted), F.lit(True).alias(own_kept)).distinct()
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("_key", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField(own_key, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             with np.errstate(over="ignore"):
                 keys = pa.array([set_key(own) for own in shingle_sets(batch.column(at), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, own_key])
 
     keyed = docs.mapInArrow(run, schema)
-    same = (keyed["_key"] == kept["_key"]) & keyed[id_col].eqNullSafe(kept["_id"])
-    marked = keyed.join(kept.withColumn("_kept", F.lit(True)), same, "left").filter(
-        keyed["_key"].isNull() | F.col("_kept"))
-    return marked.select(*[keyed[c] for c in docs.columns])
+    same = (F.col(own_key) == F.col(wanted)) & F.col(f"`{id_col}`").eqNullSafe(F.col(own_id))
+    marked = keyed.join(kept, same, "left").filter(F.col(own_key).isNull() | F.col(own_kept))
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.tables import materialize
+from corpuscope.llm.tables import fresh_names, materialize
 
 KEY = ["digest", "n_bytes", "witness"]
 SPACES = r"[\x20\x09-\x0D]+"
@@ -65,11 +65,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without all but the first of equal texts; columns as given."""
+    """The documents without all but the first of equal texts; columns as given, whatever their names."""
+    own_id, own_digest, kept_id, kept_digest = fresh_names(docs, 4)
     first = (
         exact_groups(docs, id_col, text_col).filter("kept")
-        .select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest"))
+        .select(F.col(id_col).alias(kept_id), F.col("text_sha256").alias(kept_digest))
     )
-    keyed = docs.withColumn("_digest", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_id", F.col(id_col))
-    same = keyed["_id"].eqNullSafe(first["_id"]) & (keyed["_digest"] == first["_digest"])
-    return keyed.join(first, same, "left_semi").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    keyed = docs.withColumns({
+        own_digest: F.sha2(normalised(F.col(f"`{text_col}`")), 256), own_id: F.col(f"`{id_col}`")})
+    same = F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_digest) == F.col(kept_digest))
+    return keyed.join(first, same, "left_semi").dropDuplicates([own_id, own_digest]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

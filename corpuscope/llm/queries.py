@@ -67,7 +67,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     known = read(spark, sf_dir, "labels").filter(fold(5) != 0)
     return toxicity_scores(docs, fit(docs, known)).select(
-        "doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

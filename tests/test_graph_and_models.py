@@ -161,6 +161,30 @@ def test_close_pairs_match_brute_force_at_several_thresholds(spark):
     assert got == {(i, j) for i, j in itertools.combinations(reps, 2) if cosine[i, j] >= 0.6}
 
 
+def test_close_pairs_send_a_vector_once_to_each_pair_of_blocks(spark, capsys):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for repo in ("r", "s"):
+        dense = rng.random((30, 12)) * (rng.random((30, 12)) < 0.7) + np.eye(30, 12) * 0.1
+        dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+        ids = [f"{repo}{i * 7 % 30:02}" for i in range(30)]
+        for name, v in zip(ids, dense):
+            at = np.flatnonzero(v)
+            tails = np.sqrt(np.cumsum((v[at] ** 2)[::-1])[::-1])
+            rows.append((repo, name, [int(x) for x in at], v[at].tolist(), tails[tails >= 0.7].tolist()))
+        cosine = dense @ dense.T
+        want |= {(repo, *sorted((ids[i], ids[j]))): cosine[i, j] for i, j in itertools.combinations(range(30), 2) if cosine[i, j] >= 0.7}
+    vectors = spark.createDataFrame(
+        rows, "repo string, id string, terms array<bigint>, weights array<double>, tails array<double>")
+    for bounds in ({}, {"block_rows": 7}, {"block_terms": 50}):
+        pairs = similarity.close_pairs(vectors, ["repo"], 0.7, **bounds)
+        got = {(r.repo, r.id_a, r.id_b): r.cosine for r in pairs.collect()}
+        assert set(got) == set(want) and len(want) > 100
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    pairs.explain()
+    assert "CoGroups" in capsys.readouterr().out  # and no join that copies both vectors to every pair
+
+
 def test_similar_pairs_of_near_copies(spark):
     one = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     two, alone = one + " lambda", "other words entirely here"

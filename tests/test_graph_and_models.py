@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpuscope.operators import graph, models, similarity
+from corpuscope.session import folder_names
 from corpuscope.skew import previous_value, top_per_key
 
 
@@ -299,3 +300,17 @@ def test_previous_value_crosses_empty_buckets(spark):
     got = previous_value(df, ["k"], ["t", "v"], F.to_date("t"), "v", "p")
     assert {(r.k, r.v): r.p for r in got.collect()} == {
         ("a", 0): None, ("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("a", 4): 3, ("a", 5): 4, ("b", 9): None}
+
+
+def test_similar_pairs_keep_no_term_strings_while_pairs_are_sought(spark):
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/corpuscope"
+    before = set(folder_names(spark, folder))
+    texts = ["one two three four five", "one two three four five six", "one two three four five", "seven eight", None]
+    docs = spark.createDataFrame([("r", i, f"f{i}", 1, t) for i, t in enumerate(texts)],
+                                 "repo string, id long, file_path string, lineno int, text string")
+    got = {(r.id_a, r.id_b) for r in similarity.similar_pairs(docs, similarity.ngrams(F.col("text")), 0.6).collect()}
+    assert got == {(0, 1), (0, 2)}
+    left = set(folder_names(spark, folder)) - before
+    assert not [n for n in left if n.startswith("term-counts")]
+    terms, = [n for n in left if n.startswith("key-terms")]
+    assert "word" not in spark.read.parquet(f"{folder}/{terms}").columns

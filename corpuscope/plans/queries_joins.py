@@ -105,7 +105,7 @@ WHERE NOT EXISTS (SELECT 1 FROM mapping m JOIN tests t ON t.repo = m.repo AND t.
                   WHERE m.repo = p.repo AND m.file_path = p.file_path AND contains(t.content, p.name))""")
 def untested(spark: SparkSession, sf: str) -> DataFrame:
     sources, tests, _ = _tests_and_sources(spark, sf)
-    functions = syntax.extract_functions(syntax.ast_nodes(sources))
+    functions = syntax.extract_functions(syntax.ast_nodes(sources, types=syntax.FUNCTION_TYPES))
     return coverage.untested_functions(functions, coverage.map_tests(sources, tests), tests)
 
 
@@ -211,7 +211,7 @@ SELECT h.repo, p.f AS file_a, p.l AS line_a, h.file_path AS file_b, h.name AS fu
 FROM partners h JOIN kept k ON h.repo = k.repo AND h.hash = k.hash
 WHERE pairs > 0 AND (h.file_path, h.lineno, h.name) <> k.head""")
 def function_clones(spark: SparkSession, sf: str) -> DataFrame:
-    _, functions = code_functions(spark, sf)
+    _, functions = code_functions(spark, sf, syntax.FUNCTION_TYPES)
     return similarity.exact_clones(functions).select(
         "repo", "file_a", "line_a", "file_b", "func_b", "line_b", "pairs"
     )

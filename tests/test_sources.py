@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import dependencies, structure
 from corpuscope.operators.dependencies import vulnerable_dependencies
+from corpuscope.plans import bindings
 from corpuscope.sources import corpus, manifests, runs, syntax
 
 
@@ -167,3 +168,25 @@ def test_files_of_one_partition_are_parsed_by_all_tasks(files):
     one = len(list(ast.walk(ast.parse(rows[0][3]))))
     assert sum(r.n for r in per_task) == 200 * one
     assert len(per_task) == 4 and max(r.n for r in per_task) <= 60 * one
+
+
+def test_wanted_types_and_columns_are_those_of_the_whole_walk(files):
+    rows = [("r", "a.py", "Python", PY), ("r", "b.py", "Python", "@deco(1)\nclass C:\n    x: int = -1\n    async def f(self):\n        return [i for i in self.a]\n")]
+    every = syntax.ast_nodes(files(*rows))
+    order, some = ["file_path", "node_id"], ["Call", "ClassDef", *syntax.FUNCTION_TYPES]
+    wanted = every.filter(F.col("node_type").isin(*some)).orderBy(*order).collect()
+    assert syntax.ast_nodes(files(*rows), types=some).orderBy(*order).collect() == wanted and len(wanted) == 8
+    few = syntax.ast_nodes(files(*rows), columns=["node_id", "file_path", "loop_depth"])
+    assert sorted(few.collect()) == sorted(every.select("file_path", "node_id", "loop_depth").collect())
+    # measures read no other nodes than those they name
+    for measure in (structure.function_counts, lambda n: structure.halstead(structure.code_tokens(n), ["file_path"])):
+        lean = syntax.ast_nodes(files(*rows), types=(*structure.MEASURED_TYPES, *syntax.COMPUTING_TYPES))
+        assert sorted(map(str, measure(lean).collect())) == sorted(map(str, measure(every).collect()))
+
+
+def test_generated_files_are_written_out_by_all_tasks(spark, tmp_path):
+    parts = [(i, "red gear", f"Brand#{i % 9}", "LARGE", i % 50) for i in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(
+        f"{tmp_path}/part.parquet")
+    per_task = bindings.code_files(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per_task) == 4 and max(r["count"] for r in per_task) <= 110

@@ -1,6 +1,8 @@
 import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -314,3 +316,29 @@ def test_similar_pairs_keep_no_term_strings_while_pairs_are_sought(spark):
     assert not [n for n in left if n.startswith("term-counts")]
     terms, = [n for n in left if n.startswith("key-terms")]
     assert "word" not in spark.read.parquet(f"{folder}/{terms}").columns
+
+
+def test_tfidf_takes_df_from_other_blocks_and_shuffles_no_terms(spark):
+    rng = random.Random(12)
+    words = ["ab", "cd", "ef", "ga", "été", "x1"]
+    rows = [(rng.choice(["r", "s", None]), i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(60)]
+    rows += [("r", 100, None), ("r", 3, "ab ab cd"), ("r", 3, "ab ef"), ("s", None, "ab"), ("s", None, "cd cd")]
+    df = spark.createDataFrame(rows, "repo string, id long, text string")
+    counted = [(r, i, Counter(t + [f"{a} {b}" for a, b in zip(t, t[1:])])) for r, i, t in ((r, i, (t or "").split()) for r, i, t in rows) if r]
+    size = Counter(r for r, _, _ in counted)
+    dfs = Counter((r, term) for r, _, terms in counted for term in terms)
+    raw = [(r, i, term, dfs[r, term], n * (math.log((size[r] + 1) / (dfs[r, term] + 1)) + 1))
+           for r, i, terms in counted for term, n in terms.items()]
+    squares = Counter()
+    for r, i, _, _, w in raw:
+        squares[r, i] += w * w
+    want = sorted(((r, str(i), term, d, round(w / math.sqrt(squares[r, i]), 9)) for r, i, term, d, w in raw))
+    before = set(folder_names(spark, f"{spark.conf.get('spark.checkpoint.dir')}/corpuscope"))
+    for block_mb in (8.0, 0.0004):
+        weights, _ = similarity.tfidf(df, similarity.ngrams(F.col("text")), block_mb=block_mb)
+        got = sorted((x.repo, str(x.id), x.term, x.df, round(x.w, 9)) for x in weights.collect())
+        assert got == want and weights.columns == ["repo", "id", "term", "df", "w"]
+    after = set(folder_names(spark, f"{spark.conf.get('spark.checkpoint.dir')}/corpuscope"))
+    assert not [name for name in after - before if name.startswith("term-counts")]
+    empty, _ = similarity.tfidf(df.limit(0), similarity.ngrams(F.col("text")))
+    assert empty.collect() == []

@@ -218,7 +218,7 @@ SELECT repo, file_path, name, lineno, loc, is_async, CAST(n_params AS BIGINT) AS
 FROM functions""")
 def functions_of_files(spark: SparkSession, sf: str) -> DataFrame:
     files = b.code_files(spark, sf)
-    fns = syntax.extract_functions(syntax.ast_nodes(files, types=syntax.FUNCTION_TYPES))
+    fns = syntax.extract_functions(syntax.ast_nodes(files, types=syntax.FUNCTION_TYPES, deal=False))
     return fns.select(
         "repo", "file_path", "name", "lineno", "loc", "is_async",
         F.size("params").cast("bigint").alias("n_params"), "has_param_ann", "has_return_ann",
@@ -242,7 +242,8 @@ def node_counts(spark: SparkSession, sf: str) -> DataFrame:
 
     # every file has a module
     counted = ["Module", "If", "For", "Call", "ListComp", "BoolOp", "ClassDef", *syntax.FUNCTION_TYPES]
-    nodes = syntax.ast_nodes(b.code_files(spark, sf), columns=["repo", "file_path", "node_type", "loop_depth"], types=counted)
+    nodes = syntax.ast_nodes(
+        b.code_files(spark, sf), columns=["repo", "file_path", "node_type", "loop_depth"], types=counted, deal=False)
     return nodes.groupBy("repo", "file_path").agg(
         count("If").alias("n_if"), count("For").alias("n_for"), count("Call").alias("n_call"),
         count("ListComp").alias("n_listcomp"), count("BoolOp").alias("n_boolop"),

@@ -190,3 +190,22 @@ def test_generated_files_are_written_out_by_all_tasks(spark, tmp_path):
         f"{tmp_path}/part.parquet")
     per_task = bindings.code_files(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(per_task) == 4 and max(r["count"] for r in per_task) <= 110
+
+
+def test_generated_files_are_dealt_once(spark, tmp_path):
+    parts = [(i, "red gear", f"Brand#{i % 5}{i % 3}", "LARGE", i % 50) for i in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(
+        f"{tmp_path}/part.parquet")
+    once = syntax.ast_nodes(bindings.code_files(spark, str(tmp_path)), deal=False)
+    twice = syntax.ast_nodes(bindings.code_files(spark, str(tmp_path)))
+    deals = [df._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning") for df in (once, twice)]
+    order = ["repo", "file_path", "node_id"]
+    assert deals == [1, 2] and once.orderBy(*order).collect() == twice.orderBy(*order).collect() and once.count() > 40
+
+
+def test_fields_without_nodes_are_not_walked():
+    tree = ast.parse("global a\n@d\nasync def f(x: int = 1, *y, z=f'{q!r:>{w}}', **k) -> t:\n    match x:\n"
+                     "        case {'a': 1, **r} | [None, *s]: return lambda u: (yield)\nfrom m import n as o\n")
+    rows = list(syntax._flatten(tree, []))
+    assert [r[7] for r in rows] == [type(n).__name__ for n in ast.walk(tree)] and len(rows) > 40
+    assert syntax._below(ast.Constant) == () and syntax._below(ast.Name) == ("ctx",)

@@ -10,8 +10,9 @@ words have a probability too. The log-probability of a text over its length give
 All counts are exact. Codes bound the first three contexts, which have a counter each; words and pairs (two tokens before,
 token) grow with the input: blocks send the counts of their distinct ones to buckets of hashes and get the totals of
 exactly these back. Two tokens that learning texts have followed once only predict the text they come from; no state comes
-back for them, and their predictor knows nothing, as for those never met. Counts are of all learning texts but one fold; one set of weights (Newton's method, a
-round of sums per step) and one map are learned from that fold in all blocks, which the counts have not seen.
+back for them, and their predictor knows nothing, as for those never met. One set of weights (Newton's method, a
+round of sums per step) and one map are learned from one fold in all blocks, by counts without that fold; texts are scored by
+the counts of all learning texts, that fold included.
 
 Defined cases: null counts as empty; an empty text is its end alone; rows with a null id learn and are
 not held out; repeated rows count each time; an empty table gives no rows.
@@ -115,32 +116,45 @@ def states_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return odds * np.int16(8) + np.minimum(7, np.log2(zeros + ones + 1)).astype(np.int16)
 
 
-def count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes after each context of one task: rows (chunk, counts)."""
-    counts = [np.zeros(n, np.int32) for n in SIZES]
-    for batch in batches:
-        for _, own in tokens(batch.column(0)):
-            for table, context in zip(counts, own.contexts()):
-                np.add.at(table, (context << BITS) | own.codes, 1)
-    for which, own in enumerate(counts):
-        for k in range(0, len(own), CHUNK):
-            part = own[k : k + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([which * 1000 + k // CHUNK], pa.int32()), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
+def count_codes(mixed: bool):
+    """Codes after each context of one task: rows (chunk, whether of the fold that weights learn from, counts)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(n, np.int32) for n in SIZES]
+        for batch in batches:
+            for _, own in tokens(batch.column(0)):
+                for table, context in zip(counts, own.contexts()):
+                    np.add.at(table, (context << BITS) | own.codes, 1)
+        for which, own in enumerate(counts):
+            for k in range(0, len(own), CHUNK):
+                part = own[k : k + CHUNK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([which * 1000 + k // CHUNK], pa.int32()), pa.array([mixed]), pa.array([packed(part)], pa.binary())],
+                        ["chunk", "mixed", "counts"])
 
-def sum_codes(table: pa.Table) -> pa.Table:
-    """Chunk of counts of codes -> states of the bits on their ways, those of a context by a one and the bits so far."""
-    leaves = np.zeros(1, np.int64)
-    for blob in table.column("counts"):
-        leaves = leaves + unpacked(blob)
+    return run
+
+
+def code_states(leaves: np.ndarray) -> np.ndarray:
+    """Counts of codes -> states of the bits on their ways, those of a context by a one and the bits so far."""
     leaves = leaves.reshape(-1, NONE)
     out = np.zeros(leaves.shape, np.int16)
     for depth in range(BITS):
         both = leaves.reshape(len(leaves), 1 << depth, 2, -1).sum(axis=3)
         out[:, 1 << depth : 2 << depth] = states_of(both[:, :, 0], both[:, :, 1])
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "states": pa.array([shrunk(out.tobytes())], pa.binary())})
+    return out
+
+
+def sum_codes(table: pa.Table) -> pa.Table:
+    """Chunk of counts of codes -> its states without the fold that weights learn from, and what that fold adds to them."""
+    sums = [np.zeros(min(n - at, CHUNK), np.int64) for at, n in [(table.column("chunk")[0].as_py() % 1000 * CHUNK,
+                                                                SIZES[table.column("chunk")[0].as_py() // 1000])] for _ in range(2)]
+    for mixed, blob in zip(table.column("mixed").to_pylist(), table.column("counts")):
+        sums[mixed] += unpacked(blob)
+    without, every = code_states(sums[0]), code_states(sums[0] + sums[1])
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "states": pa.array([shrunk(without.tobytes())], pa.binary()),
+                     "added": pa.array([shrunk((every - without).tobytes())], pa.binary())})
 
 
 def pair_states(pairs: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -315,7 +329,7 @@ WORDS, PAIRS, MIXED_PAIRS = 0, 1, 2
 
 def send_counts(buckets: int):
     """Block -> per bucket the block's distinct token hashes, their counts in learning texts and their codes; and its distinct
-    pairs with theirs, in buckets of their own, those of texts that the weights learn from once more without counts."""
+    pairs with theirs, in buckets of their own, those of texts that the weights learn from once more with their counts there."""
 
     def distinct(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         value, which = np.unique(np.concatenate(values), return_inverse=True)
@@ -323,7 +337,7 @@ def send_counts(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         fold = np.array(table.column("fold").to_pylist())
-        hashes, codes, counted, pairs, met, mixed = [], [], [], [], [], []
+        hashes, codes, counted, pairs, met, mixed, inside = [], [], [], [], [], [], []
         for i, own in tokens(table.column("text")):
             folds = fold[i : i + own.texts][own.text]
             value, first, which = np.unique(own.hashes, return_index=True, return_inverse=True)
@@ -333,8 +347,10 @@ def send_counts(buckets: int):
             pair = own.pairs()
             value, which = np.unique(pair, return_inverse=True)
             pairs.append(value)
-            met.append(np.bincount(which, (folds != HELD) & (folds != MIXED), len(value)))
-            mixed.append(np.unique(pair[folds == MIXED]))
+            met.append(np.bincount(which, folds != HELD, len(value)))
+            value, count = np.unique(pair[folds == MIXED], return_counts=True)
+            mixed.append(value)
+            inside.append(count)
         value, first = np.unique(np.concatenate(hashes), return_index=True)
         code = np.concatenate(codes)[first].astype("<u2")
         count = distinct(hashes, counted)[1]
@@ -342,8 +358,7 @@ def send_counts(buckets: int):
         cuts = np.searchsorted(value, np.array([b * width for b in range(1, buckets)], U64)).tolist()
         rows = [(WORDS, b, pack(value[x:y]), count[x:y].tobytes(), code[x:y].tobytes())
                 for b, (x, y) in enumerate(zip([0, *cuts], [*cuts, len(value)])) if y > x]
-        some = np.unique(np.concatenate(mixed))
-        for kind, (value, count) in ((PAIRS, distinct(pairs, met)), (MIXED_PAIRS, (some, np.zeros(len(some), np.int64)))):
+        for kind, (value, count) in ((PAIRS, distinct(pairs, met)), (MIXED_PAIRS, distinct(mixed, inside))):
             dealt, cuts = bucketed(value, buckets)
             count = count[np.searchsorted(value, dealt)]
             rows += [(kind, buckets + b, shrunk(pack(dealt[x:y])), packed(count[x:y]), None)
@@ -357,20 +372,33 @@ def send_counts(buckets: int):
 
 
 def total_pairs(table: pa.Table) -> pa.Table:
-    """Bucket -> which of each block's pairs have a context met twice or more, and the states of these pairs' bits."""
+    """Bucket -> which of each block's pairs have a context met twice or more, and the states of these pairs' bits.
+
+    Pairs of texts that weights learn from get those without the counts of their fold, the others those of all learning texts."""
     keys = [unpack(grown(x)) for x in table.column("hashes")]
     edges = np.cumsum([0, *map(len, keys)])
     value, which = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(which, np.concatenate([unpacked(x) for x in table.column("counts")]), len(value)).astype(np.int64)
-    states = pair_states(value, total)
-    first = np.flatnonzero(np.diff(value >> U64(BITS), prepend=~value[:1]))
-    often = np.repeat(np.add.reduceat(total, first) > 1, np.diff(first, append=len(value)))
-    masks, blobs = [], []
-    for x, y in zip(edges[:-1], edges[1:]):
-        own = which[x:y]
-        masks.append(shrunk(np.packbits(often[own]).tobytes()))
-        own = own[often[own]]
-        blobs.append(thin(states[:, own], value[own] & U64(NONE - 1)))
+    counts = np.concatenate([unpacked(x) for x in table.column("counts")])
+    kinds = np.array(table.column("kind").to_pylist())
+    inside = np.repeat(kinds == MIXED_PAIRS, np.diff(edges))
+    total = np.bincount(which, np.where(inside, 0, counts), len(value)).astype(np.int64)
+    context = np.cumsum(np.diff(value >> U64(BITS), prepend=~value[:1]) != 0) - 1
+    masks, blobs = [None] * len(keys), [None] * len(keys)
+    for kind in (PAIRS, MIXED_PAIRS):
+        rows = np.flatnonzero(kinds == kind)
+        if kind == MIXED_PAIRS:
+            total -= np.bincount(which, np.where(inside, counts, 0), len(value)).astype(np.int64)
+        wanted = np.zeros(len(value), bool)  # by context, which are no more than pairs
+        for r in rows:
+            wanted[context[which[edges[r] : edges[r + 1]]]] = True
+        some = np.flatnonzero(wanted[context])
+        states = pair_states(value[some], total[some]) if len(some) else np.zeros((BITS, 0), np.int16)
+        often = np.bincount(context, total, len(value))[context] > 1
+        for r in rows:
+            own = which[edges[r] : edges[r + 1]]
+            masks[r] = shrunk(np.packbits(often[own]).tobytes())
+            own = own[often[own]]
+            blobs[r] = thin(states[:, np.searchsorted(some, own)], value[own] & U64(NONE - 1))
     return pa.table({**{n: table.column(n) for n in ("block", "kind", "bucket")}, "hashes": pa.array(masks, pa.binary()),
                      "totals": pa.array(blobs, pa.binary())})
 
@@ -444,16 +472,19 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = parts_for(docs, text_col, block_mb)
     source = docs.select(F.col(id_col).alias("id"), fold_of(F.col(id_col)).alias("fold"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    chunks = (
-        source.filter(~F.col("fold").isin(HELD, MIXED)).select("text").mapInArrow(count_codes, "chunk int, counts binary")
-        .groupBy("chunk").applyInArrow(sum_codes, "chunk int, states binary").collect()  # sum(SIZES) states of 16 bits
-    )
+    counted = [source.filter((F.col("fold") != HELD) & ((F.col("fold") == MIXED) == mixed)).select("text")
+               .mapInArrow(count_codes(mixed), "chunk int, mixed boolean, counts binary") for mixed in (False, True)]
+    chunks = counted[0].union(counted[1]).groupBy("chunk").applyInArrow(
+        sum_codes, "chunk int, states binary, added binary").collect()  # sum(SIZES) states of 16 bits, and steps to the others
     tables = [np.zeros(n, np.int16) for n in SIZES]
-    for chunk, blob in chunks:
-        own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int16)
-        at = chunk % 1000 * CHUNK
-        tables[chunk // 1000][at : at + len(own)] = own
-    del chunks
+
+    def add(which: str) -> None:
+        for row in chunks:
+            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(row[which]), np.int16)
+            at = row["chunk"] % 1000 * CHUNK
+            tables[row["chunk"] // 1000][at : at + len(own)] += own
+
+    add("states")
     states = spark.sparkContext.broadcast(tables)
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
     by_block = dealt.repartition(blocks, "block").groupBy("block")
@@ -470,6 +501,10 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .cogroup(counts.filter((F.col("block") >= 0) & (F.col("kind") == MIXED_PAIRS)).groupBy("block"))
         .applyInArrow(learning_rows(blocks), "codes binary, texts binary, states binary"), "mixing-rows")
     model = learn(mixed, states)
+    states.unpersist()
+    add("added")
+    del chunks
+    states = spark.sparkContext.broadcast(tables)
     schema = (f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
               "score double, bits_per_byte double")
     return by_block.cogroup(counts.filter((F.col("block") >= 0) & (F.col("kind") != MIXED_PAIRS)).groupBy("block")).applyInArrow(

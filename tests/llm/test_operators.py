@@ -167,6 +167,31 @@ def test_mixing_counts_all_blocks(spark):
     assert len(one) == 300 and all(abs(one[i] - more[i]) < 0.01 for i in one)
 
 
+def test_mixing_predictors_count_all_learning_texts(spark):
+    """Texts of the fold that the weights learn from are counted, too, once the weights are learned."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    common = [words(rng, 40, 500) for _ in range(3)]
+    phrase = words(rng, 40, 500)
+    # all folds share texts that teach the weights to trust the contexts; one text stands in the weights' fold alone
+    many = [(i, phrase if fold(i) == 2 or fold(i) == 3 and i % 3 == 0 else rng.choice(common)) for i in range(300)]
+    rows = mixing.mixing_scores(spark.createDataFrame(many, "doc_id long, text string")).filter("held_out").collect()
+    assert sum(r.score for r in rows) / sum(r.n_tokens for r in rows) > -1  # -0.45; -3.2 by counts without that fold
+    pair = lambda x, kind, n: {"block": 0, "kind": kind, "bucket": 1, "hashes": mixing.shrunk(mixing.pack(np.array(x, np.uint64))),
+                               "counts": mixing.packed(np.array(n))}
+    keys = [(7 << mixing.BITS) | 1, (7 << mixing.BITS) | 2, (9 << mixing.BITS) | 3]
+    rows = [pair(keys, mixing.PAIRS, [5, 3, 2]), pair(keys[1:], mixing.MIXED_PAIRS, [2, 1])]
+    got = mixing.total_pairs(pa.Table.from_pylist(rows))
+    for at, (own, total) in enumerate(((keys, [5, 3, 2]), (keys[1:2], [5, 1]))):
+        full = keys[: len(total)]
+        states = mixing.pair_states(np.array(full, np.uint64), np.array(total))[:, [full.index(k) for k in own]]
+        codes = np.array(own, np.uint64) & np.uint64(mixing.NONE - 1)
+        assert (mixing.thick(mixing.grown(got.column("totals")[at]), codes) == states).all()
+
+
 def test_near_dedup_refuses_a_percent_at_which_links_are_lost():
     assert near_dedup.missed(80) < 3e-8
     for percent in (30, 50):

@@ -212,6 +212,13 @@ def test_similar_pairs_of_near_copies(spark):
         assert {i for p in got for i in p} >= set(range(8))
 
 
+def test_clones_hash_texts_once(spark):
+    rows = [("r", f"f{i}.py", "f", 1, "def f():\n  pass") for i in range(4)]
+    items = spark.createDataFrame(rows, "repo string, file_path string, name string, lineno int, source string")
+    clones = similarity.exact_clones(items)
+    assert "md5(" not in clones._jdf.queryExecution().optimizedPlan().toString() and clones.count() == 3
+
+
 def test_exact_clones_skip_near_copies(spark):
     rows = [("r", "a", "f", 1, "x  y"), ("r", "a", "g", 4, "x y"), ("r", "a", "h", 40, "x y"),
             ("r", "b", "f", 1, " x y"), ("r", "c", "z", 1, "near"), ("r", "c", "z", 3, "near")]

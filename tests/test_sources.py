@@ -209,3 +209,15 @@ def test_fields_without_nodes_are_not_walked():
     rows = list(syntax._flatten(tree, []))
     assert [r[7] for r in rows] == [type(n).__name__ for n in ast.walk(tree)] and len(rows) > 40
     assert syntax._below(ast.Constant) == () and syntax._below(ast.Name) == ("ctx",)
+
+
+def test_nodes_side_by_side_share_their_scope():
+    """Nodes are queued with one scope object; what decorates a function stands outside of it."""
+    tree = ast.parse("@d(a)\ndef f(x):\n    for i in x:\n        g(i or x)\n    class C:\n        @e\n        def m(self): h()\n")
+    calls = {r[14][0][1]: r for r in syntax._flatten(tree, [], frozenset(["Call"]))}
+    fns = {dict(r[14])["name"]: r for r in syntax._flatten(tree, [], frozenset(["FunctionDef"]))}
+    assert calls["d"][2:7] == (None, (), "f", (), ()) and calls["g"][5:7] == ((fns["f"][0],), (1,)) and calls["g"][10] == 1
+    assert calls["h"][5] == (fns["f"][0], fns["m"][0]) and len(calls["h"][3]) == 1 and calls["h"][5] is not calls["g"][5]
+    plans = syntax._Plans(frozenset(["Call"]))
+    assert list(syntax._flatten(tree, [], plans=plans)) == list(calls.values())
+    assert plans[ast.Name] == (False, False, ("ctx",)) and plans[ast.For][1] and plans[ast.Call][0]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from corpuscope.llm.text import NOT_SPACE, pieces, utf8
 
 #: bytes of words, and of chunk bodies, that a worker remembers
-MEMO_BYTES = 72_000_000
+MEMO_BYTES = 60_000_000
 #: words encoded side by side in one text; longer words go alone
 JOINED, LONG_WORD = 512, 256
 #: letters of Latin-1, which no normalisation turns into anything but letters, and perhaps one mark behind them

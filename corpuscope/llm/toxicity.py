@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             label, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, 1 << 18):
                 part = lowered(data[offsets[i] : offsets[j]])
                 words = Words(part, offsets[i : j + 1] - offsets[i], ALPHANUMERIC)
                 if not len(words.starts):
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
                 if other is None or not part.num_rows:
                     continue
                 data, offsets = utf8(part.column(0))
-                for i, j in pieces(offsets, 4 << 20):
+                for i, j in pieces(offsets):
                     f = other.features(lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
                     yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in f.T), part.column(1)[i:j]], ["a", "b", "c", "d", "label"])
 
@@ -243,7 +243,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
 def scored(model: Model, texts: pa.Array) -> np.ndarray:
     data, offsets = utf8(texts)
     parts = [model.score(model.features(lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]))
-             for i, j in pieces(offsets, 4 << 20)]
+             for i, j in pieces(offsets)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -256,6 +256,8 @@ def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scored(shared.value, batch.column(at)) < 0.5))
+            for i, j in pieces(utf8(batch.column(at))[1], 4 << 20):  # what is kept is a copy
+                part = batch.slice(i, j - i)
+                yield part.filter(pa.array(scored(shared.value, part.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -192,6 +192,23 @@ def test_mixing_predictors_count_all_learning_texts(spark):
         assert (mixing.thick(mixing.grown(got.column("totals")[at]), codes) == states).all()
 
 
+def test_toxicity_scores_large_batches_in_small_pieces():
+    """Temporary arrays and the powers kept by a worker follow a piece, not a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuscope.llm import text
+
+    u64 = np.uint64
+    keys = np.arange(1, 9, dtype=u64)
+    model = toxicity.Model(keys, np.ones(8), keys, np.ones(8), np.array([-4.0, 0, 0, 0, 0, 2.0]))
+    texts = [words(random.Random(i), 2000, 900) for i in range(600)]
+    text._POWERS.clear()
+    got = toxicity.scored(model, pa.array(texts))
+    assert sum(map(len, texts)) > 5 << 20 and max(map(len, text._POWERS.values())) <= 2 << 20
+    assert np.array_equal(got, np.concatenate([toxicity.scored(model, pa.array(texts[i : i + 7])) for i in range(0, 600, 7)]))
+
+
 def test_near_dedup_refuses_a_percent_at_which_links_are_lost():
     assert near_dedup.missed(80) < 3e-8
     for percent in (30, 50):

@@ -226,6 +226,23 @@ def cell_of(y: np.ndarray) -> np.ndarray:
     return np.round(y * 2).astype(np.int64) + 24
 
 
+class States:
+    """States of the counters of the bounded contexts, as compressed chunks that add up; a worker opens them once."""
+
+    def __init__(self, chunks: list[tuple[int, bytes]]):
+        self.chunks, self.open = chunks, None
+
+    def tables(self) -> list[np.ndarray]:
+        if self.open is None:
+            tables = [np.zeros(n, np.int16) for n in SIZES]
+            for chunk, blob in self.chunks:
+                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int16)
+                at = chunk % 1000 * CHUNK
+                tables[chunk // 1000][at : at + len(own)] += own
+            self.open, self.chunks = tables, []
+        return self.open
+
+
 class Known:
     """States of the distinct pairs of texts, from the rows of their buckets, which have them in the order of ``bucketed``."""
 
@@ -266,7 +283,7 @@ def statistics(tables, model: Model, last: bool):
                 own = Tokens(np.zeros(0, U64), np.frombuffer(grown(codes), "<u2").astype(np.int64),
                              np.frombuffer(grown(texts), "<i4"), 0)
                 pairs = thick(grown(states), own.codes)
-                for depth, x, gate, y in model.mixed(tables.value, own, pairs):
+                for depth, x, gate, y in model.mixed(tables.value.tables(), own, pairs):
                     bit = own.bit(depth)
                     if last:
                         sums[depth] += [np.bincount(cell_of(y), bit, 49), np.bincount(cell_of(y), minlength=49)]
@@ -447,7 +464,7 @@ def score_block(tables, by_code, model: Model, buckets: int):
             n_known.append(per(count > 0).astype(np.int64))
             base.append(per(np.log10((count + 1) / (n_all + v_all + 1))))
             inside = np.log((count + 1) / (every[own.codes] + kinds[own.codes] + 1))
-            score.append(per(model.log_probability(tables.value, own, pairs.of(own)) + inside) / LN10)
+            score.append(per(model.log_probability(tables.value.tables(), own, pairs.of(own)) + inside) / LN10)
         join = lambda x, kind: pa.array(np.concatenate(x).astype(kind))
         return pa.table({
             "id": table.column("id"), "held_out": pa.array(fold == HELD), "n_tokens": join(n_tokens, np.int64),
@@ -476,16 +493,10 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .mapInArrow(count_codes(mixed), "chunk int, mixed boolean, counts binary") for mixed in (False, True)]
     chunks = counted[0].union(counted[1]).groupBy("chunk").applyInArrow(
         sum_codes, "chunk int, states binary, added binary").collect()  # sum(SIZES) states of 16 bits, and steps to the others
-    tables = [np.zeros(n, np.int16) for n in SIZES]
-
-    def add(which: str) -> None:
-        for row in chunks:
-            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(row[which]), np.int16)
-            at = row["chunk"] % 1000 * CHUNK
-            tables[row["chunk"] // 1000][at : at + len(own)] += own
-
-    add("states")
-    states = spark.sparkContext.broadcast(tables)
+    without = [(row["chunk"], bytes(row["states"])) for row in chunks]
+    added = [(row["chunk"], bytes(row["added"])) for row in chunks]
+    del chunks
+    states = spark.sparkContext.broadcast(States(without))
     dealt = source.withColumn("block", F.pmod(F.xxhash64("id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("int"))
     by_block = dealt.repartition(blocks, "block").groupBy("block")
     counts = materialize(
@@ -502,9 +513,7 @@ def mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .applyInArrow(learning_rows(blocks), "codes binary, texts binary, states binary"), "mixing-rows")
     model = learn(mixed, states)
     states.unpersist()
-    add("added")
-    del chunks
-    states = spark.sparkContext.broadcast(tables)
+    states = spark.sparkContext.broadcast(States(without + added))
     schema = (f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
               "score double, bits_per_byte double")
     return by_block.cogroup(counts.filter((F.col("block") >= 0) & (F.col("kind") != MIXED_PAIRS)).groupBy("block")).applyInArrow(

@@ -212,6 +212,16 @@ def test_similar_pairs_of_near_copies(spark):
         assert {i for p in got for i in p} >= set(range(8))
 
 
+def test_similar_pairs_send_no_table_through_the_driver(spark, capsys):
+    texts = ["one two three four five", "one two three four five six", "one two three four five", "one two three four five"]
+    docs = spark.createDataFrame([("r", f"f:{i}", "f", 4 * i, t) for i, t in enumerate(texts)],
+                                 "repo string, id string, file_path string, lineno int, text string")
+    pairs = similarity.similar_pairs(docs, similarity.ngrams(F.col("text")), 0.6)
+    assert {(r.id_a, r.id_b) for r in pairs.collect()} == {("f:0", "f:3")}
+    pairs.explain()
+    assert "Broadcast" not in capsys.readouterr().out  # small files may hold very many rows
+
+
 def test_clones_hash_texts_once(spark):
     rows = [("r", f"f{i}.py", "f", 1, "def f():\n  pass") for i in range(4)]
     items = spark.createDataFrame(rows, "repo string, file_path string, name string, lineno int, source string")

@@ -56,3 +56,16 @@ def test_report_parts_and_way_into_the_run_history(spark, files):
     assert run.security_high == row.high_total and run.tech_debt_hours == row.tech_debt_hours
     assert run.doc_coverage == row.doc_coverage and run.cyclomatic_avg == row.cyclomatic_avg > 0
     assert run.maintainability == row.cards.maintainability_value and run.critical_count == row.critical_issues_count
+
+
+def test_analysis_reads_the_files_once(spark, files):
+    reads = spark.sparkContext.accumulator(0)
+    df = files(("r", "app/api/a.py", "Python", "import os\ndef f(a):\n    return a\n"), ("r", "b.go", "Go", "package b\n"))
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    tables = analyze(df.mapInArrow(seen, df.schema))
+    assert reads.value == 2 and tables["lengths"].count() == 1

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpuscope.operators import graph, models, similarity
@@ -98,6 +99,23 @@ def test_cohesion_matches_brute_force_over_many_cells(spark):
         assert got[m] == (len(sets), shared)
 
 
+def test_packed_blocks_of_word_sets_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(graph, "ROWS", 7)
+    monkeypatch.setattr(graph, "COLUMNS", 5)
+    for _ in range(20):
+        vocab = int(rng.integers(8, 60))
+        sides = [[np.unique(rng.choice(vocab, rng.integers(6, vocab + 1)) * 1234567891234567) for _ in range(rng.integers(1, 30))] for _ in "ab"]
+        copies = [rng.integers(1, 4, len(side)) for side in sides]
+        one, two = (graph._packed(pa.array([x.tolist() for x in side], pa.list_(pa.int64())), n) for side, n in zip(sides, copies))
+        (a, b), (n, m) = sides, copies
+        close = lambda x, y: len(np.intersect1d(x, y)) > 5
+        assert graph._sharing_pairs([one, two], 5) == sum(n[i] * m[j] for i, x in enumerate(a) for j, y in enumerate(b) if close(x, y))
+        assert graph._sharing_pairs([one], 5) == sum(n[i] * n[j] for i, j in itertools.combinations(range(len(a)), 2) if close(a[i], a[j]))
+    many = pa.array([np.unique(rng.choice(3000, 150)).tolist() for _ in range(400)], pa.list_(pa.int64()))
+    assert len(graph._packed(many, np.ones(400, int))) < many.nbytes / 2  # it is sent once to each other block
+
+
 def test_similar_pairs_match_brute_force_over_many_cells(spark):
     rng = random.Random(9)
     vocab = [f"tok{i}" for i in range(12)]
